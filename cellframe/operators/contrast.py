@@ -56,11 +56,13 @@ def contrast_limits(
     rows = rows.withColumn("pos", F.when(F.col("v") > 0, F.col("v")) if ignore_zeros else F.col("v"))
     base = [F.min("v").alias("min"), F.max("v").alias("max"), F.max(F.abs("v")).alias("abs_max")]
     if whole_fields:
-        stats = rows.groupBy(*keys).agg(*base)
-        mags = exact_percentiles(rows.withColumn("mag", F.abs("v")), keys, "mag", {"abs_hi": hi})
-        pos = exact_percentiles(rows, keys, "pos", {"pos_lo": lo, "pos_hi": hi})
-        every = exact_percentiles(rows, keys, "v", {"all_lo": lo, "all_hi": hi})
-        stats = stats.join(mags, keys, "left").join(pos, keys, "left").join(every, keys, "left")
+        # Three readings of each pixel share one histogram pass.
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in
+                          (("abs", F.abs("v")), ("pos", F.col("pos")), ("all", F.col("v")))])
+        spread = rows.select(*keys, F.explode(kinds).alias("_k")).select(*keys, "_k.kind", "_k.v")
+        bounds = exact_percentiles(spread, [*keys, "kind"], "v", {"lo": lo, "hi": hi})
+        picks = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("abs", "pos", "all") for c in ("lo", "hi")]
+        stats = rows.groupBy(*keys).agg(*base).join(bounds.groupBy(*keys).agg(*picks), keys, "left")
     else:
         q = lambda c, p: F.percentile(c, F.lit(p / 100.0))
         stats = rows.groupBy(*keys).agg(

@@ -7,6 +7,7 @@ neighbour differences are computed while a plane is exploded, without a shuffle.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,6 @@ def fit_focus_surface(
     too few blocks have a peak. At most ``tiles_y * tiles_x`` points go into a
     fit, so the solves run as vectors of small arrays in a pandas UDF.
     """
-    import pandas as pd
-
     n_coefs = (degree[0] + 1) * (degree[1] + 1)
 
     @F.pandas_udf("array<double>")
