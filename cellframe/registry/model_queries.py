@@ -69,8 +69,8 @@ _PAIRS = "pr AS (SELECT g.category AS truth, p.pred FROM fx_pred p JOIN fx_tags
 
 @query(
     "evaluate_predictions",
-    f"""WITH {_PAIRS} SELECT category, count(truth) AS n, count_if(truth = pred) AS n_correct,
-         round(coalesce(count_if(truth = pred) / nullif(count(truth), 0), 0), 6) AS accuracy
+    f"""WITH {_PAIRS} SELECT category, count(truth) AS n, count(CASE WHEN truth = pred THEN 1 END) AS n_correct,
+         round(coalesce(count(CASE WHEN truth = pred THEN 1 END) / nullif(count(truth), 0), 0), 6) AS accuracy
        FROM (SELECT unnest({CLASSES}) AS category) c LEFT JOIN pr ON truth = category GROUP BY 1""",
 )
 def _(v: Views):
