@@ -375,7 +375,7 @@ def _as_fov(df):
     f"""WITH {_OLD}, tg AS (SELECT 'p' AS project, concat('f', pair) AS fov_id, printf('f%d_cell%05d', pair, old_label) AS cell_id,
          CASE WHEN old_label % 2 = 0 THEN 'bud' ELSE 'two' END AS category, CASE WHEN old_label = 3 THEN 0.25 END AS confidence, pair, old_label FROM c
          WHERE old_label < 4),
-       r AS (SELECT pair, old_label, CASE WHEN new_label IS NOT NULL AND count(*) OVER (PARTITION BY pair, new_label) = 1 THEN new_label END AS new_label FROM matched),
+       r AS (SELECT pair, old_label, CASE WHEN new_label IS NOT NULL AND count(*) OVER (PARTITION BY pair, new_label) = 1 THEN new_label END AS new_label FROM matched WHERE old_label < 4),
        j AS (SELECT tg.*, r.new_label FROM tg JOIN r USING (pair, old_label))
        SELECT 'tag' AS kind, project, fov_id, printf('%s_cell%05d', fov_id, new_label) AS cell_id, category, confidence FROM j WHERE new_label IS NOT NULL
        UNION ALL SELECT 'moved', '', '', CAST(count(new_label) AS VARCHAR), '', NULL FROM j WHERE new_label IS DISTINCT FROM old_label
