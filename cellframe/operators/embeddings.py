@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,8 +62,10 @@ def knn_join(
     k: int,
     metric: str = "euclidean",
     skip_self: bool = False,
-    n_pivots: int = 16,
-    block_rows: int = 4096,
+    n_pivots: int | None = None,
+    block_rows: int = 16384,
+    n_queries: int | None = None,
+    n_corpus: int | None = None,
 ) -> DataFrame:
     """Exact k nearest corpus rows of every query: (query_id, neighbor_id, label, distance, rank).
 
@@ -73,10 +77,16 @@ def knn_join(
     it is sent to those and no others. Cells larger than ``block_rows`` are
     split by hash, queries likewise, so a task holds two blocks of at most
     about that size and returns k rows per query, never the pairs. Pivots and
-    cell sizes are the only things on the driver (``n_pivots`` rows).
+    cell sizes are the only things on the driver (``n_pivots`` rows; by default
+    their number grows with the root of the corpus, from 16 to 1024).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    if n_queries is None:
+        n_queries = queries.count()
+    if n_pivots is None:
+        n_corpus = corpus.count() if n_corpus is None else n_corpus
+        n_pivots = min(1024, max(16, math.isqrt(n_corpus) // 8))
     id_type = corpus.schema["id"].dataType
     label_type = corpus.schema["label"].dataType
     seeds = corpus.select("id", "embedding").orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_pivots).collect()
@@ -105,7 +115,6 @@ def knn_join(
     sizes = np.array([r["n"] for r in stats])
     radii = np.array([r["r"] for r in stats])
     blocks = np.maximum(1, -(-sizes // block_rows)).astype("int64")
-    n_chunks = max(1, -(-queries.count() // block_rows))
     need = k + (1 if skip_self else 0)
 
     def route(batches):
@@ -134,20 +143,28 @@ def knn_join(
         T.StructField("cell", T.IntegerType()),
         T.StructField("n_blocks", T.LongType()),
     ])
+    routed = queries.select("id", "embedding").mapInPandas(route, routed_schema)
+    if n_queries <= block_rows:
+        chunks = {int(c): 1 for c in cells}
+    else:
+        visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        chunks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in visits}
+
+    def by_cell(numbers: dict[int, int]):
+        return F.element_at(F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair]), F.col("cell"))
+
+    keys = ["cell", "block", "chunk"]
     routed = (
-        queries.select("id", "embedding")
-        .mapInPandas(route, routed_schema)
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
-        .select("cell", "block", "chunk", "id", "embedding")
-    )
-    n_blocks = F.element_at(
-        F.create_map(*[F.lit(v) for c, b in zip(cells.tolist(), blocks.tolist()) for v in (c, b)]), F.col("cell")
+        routed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), by_cell(chunks)))
+        .select(*keys, "id", "embedding")
     )
+    # A block is repeated once per chunk of the queries that visit its cell, and not at all if none does.
+    visited = placed.where(F.col("cell").isin(list(chunks))) if len(chunks) < len(cells) else placed
     corpus_blocks = (
-        placed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-        .select("cell", "block", "chunk", "id", "embedding", "label")
+        visited.withColumn("block", F.pmod(F.xxhash64("id"), by_cell(dict(zip(cells.tolist(), blocks.tolist())))))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), by_cell(chunks).cast("long") - 1)))
+        .select(*keys, "id", "embedding", "label")
     )
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -170,10 +187,7 @@ def knn_join(
         T.StructField("label", label_type),
         T.StructField("distance", T.DoubleType()),
     ])
-    keys = ["cell", "block", "chunk"]
     partial = routed.groupBy(*keys).cogroup(corpus_blocks.groupBy(*keys)).applyInPandas(nearest, out_schema)
-    from pyspark.sql import Window
-
     # Each query brings k rows per block; Spark limits them per task before the shuffle.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -184,7 +198,7 @@ def knn_graph(df: DataFrame, k: int, metric: str = "euclidean", n_rows: int | No
     n = df.count() if n_rows is None else n_rows
     k = max(2, min(k, n - 1))
     corpus = df.select("id", "embedding", F.lit(None).cast("int").alias("label"))
-    return knn_join(df, corpus, k, metric, skip_self=True).drop("label")
+    return knn_join(df, corpus, k, metric, skip_self=True, n_queries=n, n_corpus=n).drop("label")
 
 
 def knn_vote(neighbors: DataFrame) -> DataFrame:
@@ -210,7 +224,7 @@ def knn_accuracy(df: DataFrame, k: int = 5, val_frac: float = 0.2, seed: int = 0
     if not sizes["t"] or not sizes["v"] or sizes["a"] == sizes["b"]:
         return spark.createDataFrame([(sizes["t"], sizes["v"], None)], schema)
     val = split.where("is_val")
-    neighbors = knn_join(val, split.where("not is_val"), min(k, sizes["t"]))
+    neighbors = knn_join(val, split.where("not is_val"), min(k, sizes["t"]), n_queries=sizes["v"], n_corpus=sizes["t"])
     scored = knn_vote(neighbors).join(val.select(F.col("id").alias("query_id"), "label"), "query_id")
     return scored.agg(
         F.lit(sizes["t"]).cast("long").alias("n_train"),
@@ -238,23 +252,23 @@ def embedding_health(pairs: DataFrame, weights=(25.0, 25.0, 1.0)) -> DataFrame:
     of every row.
     """
     def moments(batches):
-        acc = {}
-        sse = 0.0
-        dim = 0
+        gram, plain, rows, sse = {}, {}, 0, 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
             z = [np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("z1", "z2")]
             sse += float(((z[0] - z[1]) ** 2).sum())
-            dim = z[0].shape[1]
+            rows += len(pdf)
             for v in (0, 1):
-                a = np.hstack([z[v], np.ones((len(z[v]), 1))])
-                acc[v] = acc.get(v, 0.0) + a.T @ a
-        for v, gram in acc.items():
-            i, j = np.indices(gram.shape)
-            yield pd.DataFrame({"view": v, "i": i.ravel(), "j": j.ravel(), "s": gram.ravel()})
-        if acc:
-            yield pd.DataFrame({"view": [2], "i": [dim], "j": [dim], "s": [sse]})
+                gram[v] = gram.get(v, 0.0) + z[v].T @ z[v]
+                plain[v] = plain.get(v, 0.0) + z[v].sum(axis=0)
+        for v in gram:
+            i, j = np.indices(gram[v].shape)
+            yield pd.DataFrame({"view": v, "i": i.ravel(), "j": j.ravel(), "s": gram[v].ravel()})
+            yield pd.DataFrame({"view": v, "i": np.arange(len(plain[v])), "j": -1, "s": plain[v]})
+            yield pd.DataFrame({"view": [v], "i": [-1], "j": [-1], "s": [float(rows)]})
+        if rows:
+            yield pd.DataFrame({"view": [2], "i": [-1], "j": [-1], "s": [sse]})
 
     sums = (
         pairs.select("z1", "z2")
@@ -262,25 +276,26 @@ def embedding_health(pairs: DataFrame, weights=(25.0, 25.0, 1.0)) -> DataFrame:
         .groupBy("view", "i", "j")
         .agg(F.sum("s").alias("s"))
     )
-    # (d + 1)^2 sums per view from here on; the extra row and column hold plain sums and the count.
-    d = sums.where("view = 2").select(F.col("i").alias("d"), F.col("s").alias("sse"))
-    totals = sums.where("view < 2").join(d.select("d"), F.col("j") == F.col("d")).select(
-        "view", F.col("i").alias("k"), F.col("s").alias("sum")
-    )
-    n = totals.join(d.select("d"), F.col("k") == F.col("d")).select("view", F.col("sum").alias("n"))
-    si = totals.select("view", F.col("k").alias("i"), F.col("sum").alias("si"))
-    sj = totals.select("view", F.col("k").alias("j"), F.col("sum").alias("sj"))
+    # d * d products, d sums and a count per view from here on.
+    si = sums.where("view < 2 and i >= 0 and j = -1").select("view", "i", F.col("s").alias("si"))
+    sj = si.select("view", F.col("i").alias("j"), F.col("si").alias("sj"))
+    n = sums.where("view < 2 and i = -1").select("view", F.col("s").alias("n"))
     cov = (
-        sums.where("view < 2").join(si, ["view", "i"]).join(sj, ["view", "j"]).join(n, "view")
-        .join(d, (F.col("i") < F.col("d")) & (F.col("j") < F.col("d")))
+        sums.where("i >= 0 and j >= 0").join(si, ["view", "i"]).join(sj, ["view", "j"]).join(n, "view")
         .withColumn("c", (F.col("s") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1))
     )
+    d = F.max("i") + 1
     same = F.col("i") == F.col("j")
     hinge = F.greatest(F.lit(0.0), 1.0 - F.sqrt(F.greatest(F.col("c"), F.lit(0.0)) + 1e-4))
-    parts = cov.agg(
-        (F.max("sse") / F.max("n") / F.max("d")).alias("sim"),
-        (F.sum(F.when(same, hinge)) / F.max("d")).alias("std"),
-        (F.sum(F.when(~same, F.col("c") * F.col("c"))) / F.max("d")).alias("cov"),
+    one = F.lit(1).alias("_one")
+    shape = cov.agg(
+        one,
+        F.max("n").alias("n"),
+        d.alias("d"),
+        (F.sum(F.when(same, hinge)) / d).alias("std"),
+        (F.sum(F.when(~same, F.col("c") * F.col("c"))) / d).alias("cov"),
     )
+    sse = sums.where("view = 2").agg(one, F.sum("s").alias("sse"))
+    parts = shape.join(sse, "_one").select((F.col("sse") / F.col("n") / F.col("d")).alias("sim"), "std", "cov")
     a, b, c = weights
     return parts.withColumn("total", a * F.col("sim") + b * F.col("std") + c * F.col("cov"))

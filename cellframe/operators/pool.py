@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .skew import salted_join
 from .tags import tag_tiles
 
@@ -69,48 +70,41 @@ def annotation_stats(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -
     list follow. Un-annotated tiles get a row without a share.
     """
     spark = tiles.sparkSession
-    counts = (
-        fov_category_counts(tiles, tags)
-        .groupBy("category")
-        .agg(F.sum("n").alias("n"), F.sum("n_human").alias("n_human"))
+    schema = "category string, n long, n_human long, position int"
+    listed = spark.createDataFrame(
+        [(None, 0, 0, -1), *[(c, 0, 0, i) for i, c in enumerate(vocabulary)]], schema
     )
-    listed = spark.createDataFrame([(c, i) for i, c in enumerate(vocabulary)], "category string, position int")
-    tagged = counts.where(F.col("category").isNotNull()).join(listed, "category", "full_outer")
-    # One row per category from here on.
-    total = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(1)))
-    rows = tagged.select(
-        "category",
-        F.coalesce("n", F.lit(0)).alias("n_tiles"),
-        F.coalesce(F.lit(100.0) * F.coalesce("n", F.lit(0)) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("percent"),
-        F.coalesce("n_human", F.lit(0)).alias("n_human"),
-        F.coalesce("position", F.lit(len(vocabulary))).alias("position"),
+    counts = fov_category_counts(tiles, tags).select("category", "n", "n_human", F.lit(len(vocabulary)).alias("position"))
+    rows = counts.unionByName(listed).groupBy("category").agg(
+        F.sum("n").alias("n_tiles"), F.sum("n_human").alias("n_human"), F.min("position").alias("position")
     )
-    untagged = counts.agg(
-        F.coalesce(F.sum(F.when(F.col("category").isNull(), F.col("n"))), F.lit(0)).alias("n_tiles")
-    ).select(
-        F.lit("Un-annotated").alias("category"),
+    # One row per category from here on.
+    tagged = F.col("category").isNotNull()
+    total = F.sum(F.when(tagged, F.col("n_tiles")).otherwise(0)).over(Window.partitionBy(F.lit(1)))
+    share = F.coalesce(F.lit(100.0) * F.col("n_tiles") / F.nullif(total, F.lit(0)), F.lit(0.0))
+    return rows.select(
+        F.coalesce("category", F.lit("Un-annotated")).alias("category"),
         "n_tiles",
-        F.lit(None).cast("double").alias("percent"),
-        F.lit(None).cast("long").alias("n_human"),
-        F.lit(-1).alias("position"),
+        F.when(tagged, share).alias("percent"),
+        F.when(tagged, F.col("n_human")).alias("n_human"),
+        "position",
     )
-    return untagged.unionByName(rows)
 
 
-def category_order(tags: DataFrame, vocabulary: list[str]) -> list[str]:
-    """Pivot columns: the declared list, then names in use that are not on it.
+def results_table(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Per field of view: tiles, one column per category, unclassified, human-set; then a total row.
 
-    Brings one row per distinct name to the driver; Spark itself refuses pivots
-    beyond ``spark.sql.pivotMaxValues`` columns.
+    Columns are the declared list, then names in use that are not on it. The
+    counts are kept aside, so columns, rows and total come from one pass over
+    the tiles. The names go through the driver; Spark refuses pivots beyond
+    ``spark.sql.pivotMaxValues`` columns, and so does this.
     """
-    used = [r[0] for r in tags.where(_tagged()).select("category").distinct().orderBy("category").collect()]
-    return [*vocabulary, *[u for u in used if u not in vocabulary]]
-
-
-def results_table(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Per field of view: tiles, one column per category, unclassified, human-set; then a total row."""
-    categories = category_order(tags, vocabulary)
-    counts = fov_category_counts(tiles, tags)
+    counts = materialize(fov_category_counts(tiles, tags), "results")
+    limit = int(tiles.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    used = [r[0] for r in counts.where("category is not null").select("category").distinct().limit(limit + 1).collect()]
+    if len(used) > limit:
+        raise ValueError(f"more than {limit} category names in use")
+    categories = [*vocabulary, *sorted(u for u in used if u not in vocabulary)]
 
     def cell(c):
         return F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c)

@@ -64,8 +64,11 @@ def _ranked_by_bucket(rows, group, order, out, count_out):
 
 
 def _value_bin(v: Column) -> Column:
-    """Monotone integer bin of a double: 32 bins per factor of two, mirrored for negatives."""
-    size = F.floor(F.log2(F.abs(v)) * 32) + 40000
+    """Monotone integer bin of a double: 256 bins per factor of two, mirrored for negatives.
+
+    A bin holds at most 2**15 distinct float32 values, and far fewer camera counts.
+    """
+    size = F.floor(F.log2(F.abs(v)) * 256) + 300000
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
