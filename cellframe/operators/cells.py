@@ -38,8 +38,10 @@ def cell_geometry(label_pixels: DataFrame, image: list[str], size: int, height,
     )
 
 
-def crop_cells(pixels: DataFrame, geometry: DataFrame, image: list[str], block: int = 64, value_cols=("value",)) -> DataFrame:
-    """Pixels inside each cell's window, in tile coordinates.
+def crop_cells(
+    pixels: DataFrame, geometry: DataFrame, image: list[str], block: int = 64, value_cols=("value",), cell_cols=()
+) -> DataFrame:
+    """Pixels inside each cell's window, in tile coordinates, with chosen columns of pixel and cell.
 
     A two-dimensional range join as an equi-join: windows are expanded to the
     grid blocks they touch, pixels know theirs, and the exact bounds are checked
@@ -50,7 +52,7 @@ def crop_cells(pixels: DataFrame, geometry: DataFrame, image: list[str], block:
 
     g = geometry.where((F.col("src_y1") > F.col("src_y0")) & (F.col("src_x1") > F.col("src_x0")))
     g = g.select(*image, F.col("label").alias("cell_label"), "src_y0", "src_y1", "src_x0", "src_x1", "dst_y0", "dst_x0",
-                 F.explode(span("src_y0", "src_y1")).alias("_by"))
+                 *cell_cols, F.explode(span("src_y0", "src_y1")).alias("_by"))
     g = g.withColumn("_bx", F.explode(span("src_x0", "src_x1")))
     p = pixels.withColumn("_by", F.floor(F.col("y") / block)).withColumn("_bx", F.floor(F.col("x") / block))
     hits = p.join(g, [*image, "_by", "_bx"]).where(
@@ -65,6 +67,7 @@ def crop_cells(pixels: DataFrame, geometry: DataFrame, image: list[str], block:
         (F.col("y") - F.col("src_y0") + F.col("dst_y0")).cast("int").alias("ty"),
         (F.col("x") - F.col("src_x0") + F.col("dst_x0")).cast("int").alias("tx"),
         *value_cols,
+        *cell_cols,
     )
 
 
@@ -148,45 +151,35 @@ def match_cells(old_masks: DataFrame, old_cells: DataFrame, new_pixels: DataFram
     of one half, counted inside the old tile's window. The window's pixels meet
     the new ones by their image coordinates, an equi-join spread over the image.
     """
-    start_y = px.window_start("centroid_y", size)
-    start_x = px.window_start("centroid_x", size)
-    cells = old_cells.select(*image, "old_label", start_y.alias("_sy"), start_x.alias("_sx"))
-    window = cells.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))).select(
-        *image,
-        "old_label",
-        F.floor(F.col("_i") / size).cast("int").alias("ty"),
-        (F.col("_i") % size).cast("int").alias("tx"),
-        "_sy",
-        "_sx",
+    start_y = px.window_start("centroid_y", size).cast("int")
+    start_x = px.window_start("centroid_x", size).cast("int")
+    cell = [*image, "old_label"]
+    placed = old_cells.select(*cell, start_y.alias("_sy"), start_x.alias("_sx"))
+    window = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))).select(
+        *cell,
+        (F.col("_sy") + F.floor(F.col("_i") / size)).cast("int").alias("y"),
+        (F.col("_sx") + F.col("_i") % size).cast("int").alias("x"),
+        F.lit(0).alias("_set"),
     )
-    marked = window.join(
-        old_masks.select(*image, "old_label", "ty", "tx", F.lit(1).alias("_set")), [*image, "old_label", "ty", "tx"], "left"
-    ).select(
-        *image,
-        "old_label",
-        (F.col("_sy") + F.col("ty")).cast("int").alias("y"),
-        (F.col("_sx") + F.col("tx")).cast("int").alias("x"),
-        F.coalesce("_set", F.lit(0)).alias("_set"),
+    footprint = placed.join(old_masks.select(*cell, "ty", "tx"), cell).select(
+        *cell, (F.col("_sy") + F.col("ty")).cast("int").alias("y"), (F.col("_sx") + F.col("tx")).cast("int").alias("x"), F.lit(1).alias("_set")
     )
-    hits = (
-        marked.join(new_pixels.where(F.col("label") != 0).select(*image, "y", "x", "label"), [*image, "y", "x"])
-        .groupBy(*image, "old_label", "label")
-        .agg(F.sum("_set").alias("inter"), F.count(F.lit(1)).alias("in_window"))
-        .where(F.col("inter") > 0)
+    # Window and footprint pixels look up the new mask together; each cell has window rows, so none drops out.
+    new = new_pixels.where(F.col("label") != 0).select(*image, F.col("y").cast("int"), F.col("x").cast("int"), "label")
+    per_label = (
+        window.unionByName(footprint)
+        .join(new, [*image, "y", "x"], "left")
+        .groupBy(*cell, "label")
+        .agg(F.sum("_set").alias("inter"), F.sum(1 - F.col("_set")).alias("in_window"))
     )
-    best = hits.groupBy(*image, "old_label").agg(
-        F.max(F.struct("inter", (-F.col("label")).alias("neg"), "in_window")).alias("_b")
-    )
-    sizes = old_masks.groupBy(*image, "old_label").agg(F.count(F.lit(1)).alias("n_old"))
-    scored = old_cells.select(*image, "old_label").join(sizes, [*image, "old_label"], "left").join(
-        best, [*image, "old_label"], "left"
+    covers = F.col("label").isNotNull() & (F.col("inter") > 0)
+    scored = per_label.groupBy(*cell).agg(
+        F.max(F.when(covers, F.struct("inter", (-F.col("label")).alias("neg"), "in_window"))).alias("_b"),
+        F.sum("inter").alias("n_old"),
     )
     iou = F.col("_b.inter") / (F.col("n_old") + F.col("_b.in_window") - F.col("_b.inter"))
     return scored.select(
-        *image,
-        "old_label",
-        F.when(iou >= MIN_OVERLAP, -F.col("_b.neg")).cast("int").alias("new_label"),
-        iou.alias("iou"),
+        *cell, F.when(iou >= MIN_OVERLAP, -F.col("_b.neg")).cast("int").alias("new_label"), iou.alias("iou")
     )
 
 
@@ -248,16 +241,16 @@ def match_cells_by_content(old: DataFrame, new: DataFrame, image: list[str], win
     ``old`` and ``new`` are ``(image…, old_label | new_label, set_pixels, intensity)``.
     """
     everything = old.select("set_pixels").unionByName(new.select("set_pixels"))
-    # One row per window position: at most window * window rows.
-    commonness = everything.select(F.explode("set_pixels").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("f"))
+    # One number per window position, so at most window * window of them.
+    counted = everything.select(F.explode("set_pixels").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("f")).collect()
+    seen = dict(map(tuple, counted))
+    commonness = F.split(F.lit(",".join(str(seen.get(p, 0)) for p in range(window * window))), ",").cast("array<long>")
 
     def prefixes(df, label):
-        flat = df.select(*image, label, F.size("set_pixels").alias("n"), F.explode("set_pixels").alias("p"))
-        ranked = flat.join(F.broadcast(commonness), "p")
-        ordered = ranked.groupBy(*image, label, "n").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("_s"))
-        keep = F.slice("_s", 1, F.floor(F.col("n") / 2).cast("int") + 1)
-        return ordered.select(*image, label, F.col("n").alias(f"n_{label}"), F.explode(keep).alias("_e")).select(
-            *image, label, f"n_{label}", F.col("_e.p").alias("p")
+        ranked = F.array_sort(F.transform("set_pixels", lambda p: F.struct(F.get(commonness, p).alias("f"), p.alias("p"))))
+        keep = F.slice(ranked, 1, F.floor(F.size("set_pixels") / 2).cast("int") + 1)
+        return df.where(F.size("set_pixels") > 0).select(
+            *image, label, F.size("set_pixels").alias(f"n_{label}"), F.explode(F.transform(keep, lambda e: e["p"])).alias("p")
         )
 
     a, b = prefixes(old, "old_label"), prefixes(new, "new_label")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 METRICS = ("euclidean", "cosine", "correlation", "manhattan")
 
 
@@ -215,7 +217,8 @@ def knn_accuracy(df: DataFrame, k: int = 5, val_frac: float = 0.2, seed: int = 0
     """
     from .ranking import stratified_split
 
-    split = stratified_split(df.select("id", "embedding", "label"), "id", "label", val_frac, seed)
+    # Read several times below (pivots, cells, both sides), so the split is written once.
+    split = materialize(stratified_split(df.select("id", "embedding", "label"), "id", "label", val_frac, seed), "split")
     sizes = split.groupBy().agg(
         F.count_if(~F.col("is_val")).alias("t"), F.count_if("is_val").alias("v"), F.min("label").alias("a"), F.max("label").alias("b")
     ).first()
@@ -287,15 +290,14 @@ def embedding_health(pairs: DataFrame, weights=(25.0, 25.0, 1.0)) -> DataFrame:
     d = F.max("i") + 1
     same = F.col("i") == F.col("j")
     hinge = F.greatest(F.lit(0.0), 1.0 - F.sqrt(F.greatest(F.col("c"), F.lit(0.0)) + 1e-4))
-    one = F.lit(1).alias("_one")
     shape = cov.agg(
-        one,
         F.max("n").alias("n"),
         d.alias("d"),
         (F.sum(F.when(same, hinge)) / d).alias("std"),
         (F.sum(F.when(~same, F.col("c") * F.col("c"))) / d).alias("cov"),
     )
-    sse = sums.where("view = 2").agg(one, F.sum("s").alias("sse"))
-    parts = shape.join(sse, "_one").select((F.col("sse") / F.col("n") / F.col("d")).alias("sim"), "std", "cov")
+    sse = sums.where("view = 2").agg(F.sum("s").alias("sse"))
+    both = shape.unionByName(sse, allowMissingColumns=True).agg(*[F.max(x).alias(x) for x in ("n", "d", "std", "cov", "sse")])
+    parts = both.select((F.col("sse") / F.col("n") / F.col("d")).alias("sim"), "std", "cov")
     a, b, c = weights
     return parts.withColumn("total", a * F.col("sim") + b * F.col("std") + c * F.col("cov"))

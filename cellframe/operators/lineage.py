@@ -40,18 +40,14 @@ def resolve_source_stage(
     ``overrides`` is ``(project, override)``, NULL meaning automatic.
     """
     rank = F.coalesce(*[F.when(F.col("stage") == s, F.lit(i)) for i, s in enumerate(candidates)])
-    found = files.groupBy("project").agg(
-        F.min_by("stage", rank).alias("_auto"),
-        F.collect_set(F.when(F.col("stage").isin(DOWNSTREAM_FIRST), F.col("stage"))).alias("_full"),
-    )
-    found = found.withColumn("_auto", F.when(F.col("_auto").isin(candidates), F.col("_auto")))
+    filled = [F.max(F.col("stage") == s).alias(f"_has_{s}") for s in DOWNSTREAM_FIRST]
+    found = files.groupBy("project").agg(F.min(rank).alias("_best"), *filled)
+    auto = F.get(F.array(*[F.lit(s) for s in candidates]), F.col("_best"))
     if overrides is None:
-        return found.select("project", F.col("_auto").alias(out))
+        return found.select("project", auto.alias(out))
     joined = found.join(overrides.select("project", "override"), "project", "left")
-    forced = F.when(F.array_contains("_full", F.col("override")), F.col("override"))
-    return joined.select(
-        "project", F.when(F.col("override").isNotNull(), forced).otherwise(F.col("_auto")).alias(out)
-    )
+    forced = F.coalesce(*[F.when((F.col("override") == s) & F.col(f"_has_{s}"), F.lit(s)) for s in DOWNSTREAM_FIRST])
+    return joined.select("project", F.when(F.col("override").isNotNull(), forced).otherwise(auto).alias(out))
 
 
 def producers(files: DataFrame, deconvolve_overrides: DataFrame | None = None) -> DataFrame:

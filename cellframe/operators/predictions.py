@@ -54,11 +54,10 @@ def training_provenance(records: DataFrame, container: list[str], label: str, bl
     A run holds at most ``block`` labels however large its container is, so no
     row grows with the data; the runs of a container, in order, are its list.
     """
-    distinct = records.select(*container, F.col(label).cast("long").alias("label")).distinct()
-    return (
-        distinct.groupBy(*container, F.floor(F.col("label") / block).cast("long").alias("run"))
-        .agg(F.array_sort(F.collect_list("label")).alias("labels"), F.count(F.lit(1)).alias("n"))
-    )
+    rows = records.select(*container, F.col(label).cast("long").alias("label"))
+    runs = rows.groupBy(*container, F.floor(F.col("label") / block).cast("long").alias("run"))
+    out = runs.agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return out.withColumn("n", F.size("labels").cast("long"))
 
 
 def inference_report(

@@ -36,23 +36,17 @@ def add_category(vocab: DataFrame, tags: DataFrame, name: str) -> DataFrame:
     ``(project, position, category)``.
     """
     new = name.strip()
-    used = tags.select("project", "category").distinct()
-    unlisted = used.join(vocab.select("project").distinct(), ["project"], "left_anti")
-    seeded = vocab.select("project", "position", "category").unionByName(
-        unlisted.withColumn(
-            "position", F.row_number().over(Window.partitionBy("project").orderBy("category"))
-        ).select("project", "position", "category")
-    )
-    if not new:
-        return seeded
-    ends = seeded.groupBy("project").agg(
-        F.max("position").alias("_end"),
-        F.max(category_key("category") == category_key(F.lit(new))).alias("_known"),
-    )
-    added = ends.where(~F.col("_known")).select(
-        "project", (F.col("_end") + 1).alias("position"), F.lit(new).alias("category")
-    )
-    return seeded.unionByName(added)
+    # Both lists are vocabularies, short by nature.
+    listed = vocab.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("position", "category"))).alias("_l"))
+    used = tags.groupBy("project").agg(F.array_sort(F.collect_set("category")).alias("_u"))
+    fallback = F.transform("_u", lambda c, i: F.struct((i + 1).alias("position"), c.alias("category")))
+    words = listed.join(used, "project", "full_outer").select("project", F.coalesce("_l", fallback).alias("_w"))
+    if new:
+        known = F.exists("_w", lambda w: category_key(w["category"]) == category_key(F.lit(new)))
+        end = F.coalesce(F.array_max(F.transform("_w", lambda w: w["position"])), F.lit(0))
+        added = F.array(F.struct((end + 1).alias("position"), F.lit(new).alias("category")))
+        words = words.withColumn("_w", F.when(known, F.col("_w")).otherwise(F.concat("_w", added)))
+    return words.select("project", F.inline("_w").alias("position", "category"))
 
 
 def remove_category(vocab: DataFrame, name: str) -> DataFrame:

@@ -131,10 +131,6 @@ def evaluate_embeddings(
         rest = ranking.sample_rows(rest, "cell_id", n_sample, seed)
     counts = confirmed.agg(F.count(F.lit(1)).alias("n_confirmed"), F.count_distinct("category").alias("n_categories"))
     extra = rest.agg(F.count(F.lit(1)).alias("n_unlabeled"))
-    one = F.lit(1).alias("_one")
-    return (
-        counts.withColumn("_one", one)
-        .join(extra.withColumn("_one", one), "_one")
-        .join(acc.withColumn("_one", one), "_one")
-        .drop("_one")
-    )
+    # Three one-row frames side by side.
+    stacked = counts.unionByName(extra, allowMissingColumns=True).unionByName(acc, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import cell_id_for
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -259,6 +260,11 @@ class Views:
             "fov", "z", "vec_id", "y", "x", quadrant.cast("int").alias("label")
         )
 
+    @cached_property
+    def stored_files(self):
+        """The manifest as the stored table it is in practice, for jobs that read it many times."""
+        return materialize(self.files, "files")
+
     @cached_property
     def files(self):
         p = F.substring("o_orderpriority", 1, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..operators import cells, contrast, images, photon
 from ..plans import export, reduce
+from ..session import materialize
 from .core import Views, query, r6
 
 IMG = ["vec_id"]
@@ -429,8 +430,9 @@ def _(v: Views):
     flipped = F.col("value") * (1 - 2 * ((F.col("y") + F.col("x")) % 2))
     value = F.when(F.col("z") % 3 == 0, flipped).otherwise(F.col("value") * 1.5 + 0.001 * F.col("y"))
     new = p.select("fov", ((F.col("z") * 5 + 3) % 16).alias("new_label"), *at, value.alias("value"), "mask")
-    a = cells.tiles_as_arrays(old, ["fov", "old_label"], 8, 8)
-    b = cells.tiles_as_arrays(new, ["fov", "new_label"], 8, 8)
+    # Tiles are a stored table.
+    a = materialize(cells.tiles_as_arrays(old, ["fov", "old_label"], 8, 8), "old")
+    b = materialize(cells.tiles_as_arrays(new, ["fov", "new_label"], 8, 8), "new")
     out = cells.match_cells_by_content(a, b, ["fov"], 8)
     return out.withColumns({c: r6(c) for c in ("corr", "iou")})
 

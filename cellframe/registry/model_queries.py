@@ -440,7 +440,7 @@ _STAGES = ", ".join(f"({i}, '{s}', {str(o).lower()})" for i, s, o in lineage.STA
        LEFT JOIN agg ON agg.project = act.project AND agg.stage = p.stage LEFT JOIN mk ON mk.project = act.project""",
 )
 def _(v: Views):
-    return lineage.stage_status(v.files, v.masks, v.overrides)
+    return lineage.stage_status(v.stored_files, v.masks, v.overrides)
 
 
 _INPUTS = _SRC + """, inp AS (SELECT project, stage, input_stage FROM (SELECT project, unnest(['02_denoised', '03_deconvolved', 'segmentation', '05_tiles']) AS stage,
@@ -501,7 +501,7 @@ def _(v: Views):
        UNION ALL SELECT project, '05_tiles', fov_id, CASE WHEN NOT mask_available THEN 'archived' WHEN up_to_date THEN 'done' ELSE 'stale' END, NULL FROM ts""",
 )
 def _(v: Views):
-    return lineage.project_status(v.files, v.masks, _channels_done(v), _tile_status(v), v.overrides)
+    return lineage.project_status(v.stored_files, v.masks, _channels_done(v), _tile_status(v), v.overrides)
 
 
 @query(
