@@ -190,35 +190,44 @@ _POLE = math.sqrt(8.0) - 3.0
 _GAIN = -8.0 * _POLE / (1.0 - _POLE * _POLE)
 
 
-def _prefilter_weight(i, z, n) -> Column:
-    """How much plane ``z`` counts in spline coefficient ``i`` of ``n`` mirrored planes."""
+def prefilter_row(z, n) -> Column:
+    """How much plane ``z`` counts in each of the ``n`` spline coefficients (mirrored ends).
+
+    Depends on the plane only, so it is computed once per plane, not per pixel.
+    """
+    z, n = _col(z).cast("int"), _col(n).cast("int")
     period = 2 * n - 2
 
     def p(k):
         return F.pow(F.lit(_POLE), k.cast("double"))
 
-    d = F.abs(i - z)
-    e = i + z
-    direct = p(d) + p(period - d)
-    image = F.when((z == 0) | (z == n - 1), F.lit(0.0)).otherwise(p(e) + p(period - e))
-    return _GAIN / (1.0 - p(period)) * (direct + image)
+    def weight(i):
+        d, e = F.abs(i - z), i + z
+        image = F.when((z == 0) | (z == n - 1), F.lit(0.0)).otherwise(p(e) + p(period - e))
+        return _GAIN / F.nullif(1.0 - p(period), F.lit(0.0)) * (p(d) + p(period - d) + image)
 
+    row = F.transform(F.sequence(F.lit(0), n - 1), weight)
+    return F.when(n == 1, F.array(F.lit(1.0))).otherwise(row)
 
-def spline_plane_weight(zc, z, n) -> Column:
-    """Weight of plane ``z`` in the quadratic-spline sample at height ``zc``.
+
+def spline_plane_weight(zc, row, n) -> Column:
+    """Weight of a plane in the quadratic-spline sample at height ``zc``, given its ``prefilter_row``.
 
     The sample is linear in the planes, so summing weight times value over the
     planes of a pixel gives it, and that sum aggregates map-side.
     """
-    zc, z, n = _col(zc), _col(z).cast("long"), _col(n).cast("long")
-    r = F.floor(zc + 0.5)
+    zc, row = _col(zc), _col(row)
+    r = F.floor(zc + 0.5).cast("int")
     d = zc - r
-    taps = [(-1, 0.5 * (0.5 - d) * (0.5 - d)), (0, 0.75 - d * d), (1, 0.5 * (0.5 + d) * (0.5 + d))]
-    out = F.lit(0.0)
-    for t, w in taps:
-        i = reflect(r + t, n)
-        out = out + w * _prefilter_weight(i, z, n)
-    return F.when(n == 1, F.lit(1.0)).otherwise(out)
+    last = (_col(n) - 1).cast("int")
+
+    def tap(t):
+        i = F.abs(r + t)
+        return F.get(row, F.greatest(F.least(i, last * 2 - i), F.lit(0)))
+
+    return (
+        0.5 * (0.5 - d) * (0.5 - d) * tap(-1) + (0.75 - d * d) * tap(0) + 0.5 * (0.5 + d) * (0.5 + d) * tap(1)
+    )
 
 
 def linear_plane_weight(zc, z) -> Column:

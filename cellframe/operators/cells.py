@@ -193,10 +193,12 @@ def resolve_matches(matches: DataFrame, image: list[str], old: str = "old_label"
 
 
 def tiles_as_arrays(tile_pixels: DataFrame, key: list[str], size: int, window: int) -> DataFrame:
-    """One row per tile, cut to a centred window: set positions and intensities in window order.
+    """One row per tile, cut to a centred window: set positions, and intensities as a centred unit vector.
 
     ``tile_pixels`` is ``(key…, ty, tx, value, mask)`` with every pixel of the
-    tile present, so a row holds ``window * window`` values.
+    tile present, so a row holds ``window * window`` values. With intensities
+    brought to mean 0 and length 1 here, once per tile, a correlation is a dot
+    product; a constant tile becomes zeros and correlates with nothing.
     """
     y = F.col("ty") - size // 2 + window // 2
     x = F.col("tx") - size // 2 + window // 2
@@ -204,28 +206,23 @@ def tiles_as_arrays(tile_pixels: DataFrame, key: list[str], size: int, window: i
         (F.col("_y") >= 0) & (F.col("_y") < window) & (F.col("_x") >= 0) & (F.col("_x") < window)
     )
     packed = F.array_sort(F.collect_list(F.struct((F.col("_y") * window + F.col("_x")).alias("p"), "value", "mask")))
-    rows = cut.groupBy(*key).agg(packed.alias("_t"))
+    rows = cut.groupBy(*key).agg(
+        packed.alias("_t"),
+        F.avg("value").alias("_mean"),
+        (F.stddev_pop("value") * F.sqrt(F.count(F.lit(1)))).alias("_norm"),
+    )
+    unit = F.transform(
+        "_t", lambda s: F.coalesce((s["value"] - F.col("_mean")) / F.nullif(F.col("_norm"), F.lit(0.0)), F.lit(0.0))
+    )
     return rows.select(
         *key,
         F.transform(F.filter("_t", lambda s: s["mask"] > 0), lambda s: s["p"]).alias("set_pixels"),
-        F.transform("_t", lambda s: s["value"].cast("double")).alias("intensity"),
+        unit.alias("intensity"),
     )
 
 
-def pearson(a, b):
-    """Correlation of two equally long arrays; 0 where one is constant."""
-    n = F.size(a)
-
-    def total(arr):
-        return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-    ma, mb = total(a) / n, total(b) / n
-    da = F.transform(a, lambda v: v - ma)
-    db = F.transform(b, lambda v: v - mb)
-    dot = total(F.zip_with(da, db, lambda p, q: p * q))
-    na = total(F.transform(da, lambda v: v * v))
-    nb = total(F.transform(db, lambda v: v * v))
-    return F.coalesce(dot / F.nullif(F.sqrt(na * nb), F.lit(0.0)), F.lit(0.0))
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def match_cells_by_content(old: DataFrame, new: DataFrame, image: list[str], window: int) -> DataFrame:
@@ -264,7 +261,7 @@ def match_cells_by_content(old: DataFrame, new: DataFrame, image: list[str], win
     both = F.size(F.array_intersect("_sa", "_sb"))
     iou = both / (F.size("_sa") + F.size("_sb") - both)
     good = pairs.withColumn("iou", iou).where(F.col("iou") >= MIN_OVERLAP).withColumn(
-        "corr", pearson(F.col("_ia"), F.col("_ib"))
+        "corr", dot("_ia", "_ib")
     ).where(F.col("corr") >= MIN_CORRELATION)
     best = good.groupBy(*image, "old_label").agg(F.max(F.struct("corr", "new_label", "iou")).alias("_b"))
     return old.select(*image, "old_label").join(best, [*image, "old_label"], "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from .skew import exact_percentiles, salted_join
+from .skew import exact_percentiles, join_facts
 
 
 def crop_percentiles(pixels: DataFrame, keys: list[str], lo: float = 0.1, hi: float = 99.9, value: str = "value") -> DataFrame:
@@ -32,7 +32,7 @@ def normalise(pixels: DataFrame, keys: list[str], lo: float = 0.1, hi: float = 9
     """(v - lo) / (hi - lo), an empty range dividing by one; for whole images."""
     bounds = field_percentiles(pixels, keys, lo, hi)
     span = F.when(F.col("hi") - F.col("lo") == 0, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
-    joined = salted_join(pixels, bounds, keys, "inner")
+    joined = join_facts(pixels, bounds, keys, "inner")
     return joined.withColumn("value", (F.col("value") - F.col("lo")) / span).drop("lo", "hi")
 
 

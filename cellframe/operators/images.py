@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from .skew import salted_join
+from .skew import join_facts
 
 INT = "int"
 
@@ -236,20 +236,20 @@ def focal_slice(
 
     A sample is a weighted sum over the planes (``px.spline_plane_weight``), so
     each plane contributes its share where it is stored and the shares add up
-    map-side; no pixel's stack is gathered. ``finish``: ``uint16`` rounds as a
+    map-side; no pixel's stack is gathered, and planes are not shuffled. ``finish``: ``uint16`` rounds as a
     16-bit source does, ``truncate`` cuts as a float source does, None keeps it.
     """
     counts = planes.groupBy(*fov).agg(F.count(F.lit(1)).alias("n_z"))
     facts = fits.where(F.col("error").isNull()).select(*fov, "coefs").join(counts, fov)
-    rows = explode_pixels(
-        salted_join(planes, facts, fov, "inner", salt_on=[*fov, "z"]), [*fov, "z", "coefs", "n_z"]
-    )
+    placed = join_facts(planes, facts, fov, salt_on=[*fov, "z"])
+    row = px.prefilter_row("z", "n_z") if method == "spline" else F.lit(None).cast("array<double>")
+    rows = explode_pixels(placed.withColumn("_row", row), [*fov, "z", "coefs", "n_z", "_row"])
     zc = surface_at(F.col("coefs"), F.col("y"), F.col("x"), F.col("height"), F.col("width"), degree)
     off = F.lit(offset_planes) if isinstance(offset_planes, (int, float)) else offset_planes
     zc = px.clip(zc + off, F.lit(0.0), (F.col("n_z") - 1).cast("double"))
-    rows = rows.select(*fov, "y", "x", "z", "n_z", "value", zc.alias("_zc"))
+    rows = rows.select(*fov, "y", "x", "z", "n_z", "value", "_row", zc.alias("_zc"))
     weight = (
-        px.linear_plane_weight("_zc", "z") if method == "linear" else px.spline_plane_weight("_zc", "z", "n_z")
+        px.linear_plane_weight("_zc", "z") if method == "linear" else px.spline_plane_weight("_zc", "_row", "n_z")
     )
     rows = rows.withColumn("_w", weight)
     if method == "linear":
@@ -263,8 +263,10 @@ def focal_slice(
 
 
 def sum_project(planes: DataFrame, fov: list[str]) -> DataFrame:
-    """Sum over z per pixel, in double."""
-    return explode_pixels(planes, fov).groupBy(*fov, "y", "x").agg(F.sum("value").alias("value"))
+    """Sum over z per pixel, in double, and how many planes went into it."""
+    return explode_pixels(planes, fov).groupBy(*fov, "y", "x").agg(
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_z")
+    )
 
 
 def donut_average(planes: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
+from ..session import materialize
 from .skew import hash_rank
 from .tags import last_per_key
 
@@ -25,14 +26,31 @@ def review_queue(tagged: DataFrame) -> DataFrame:
     return tagged.orderBy(*review_order())
 
 
-def page(df: DataFrame, key: str, number: int, size: int) -> DataFrame:
+def page(df: DataFrame, key: str, number: int, size: int, shallow: int = 100_000) -> DataFrame:
     """Page ``number`` (0-based, clamped to the last) in natural order of ``key``.
 
-    Needs the row count to clamp, as a pager does.
+    Needs the row count to clamp, as a pager does. Early pages are a top-n. For
+    a deep one the rows are written range-partitioned by the order, each with
+    its range number; the counts per range tell which range the page starts in,
+    and only those ranges are sorted.
     """
     pages = max(1, -(-df.count() // size))
     number = min(max(number, 0), pages - 1)
-    return df.orderBy(natural_key(key), F.col(key)).offset(number * size).limit(size)
+    skip = number * size
+    order = [natural_key(key), F.col(key)]
+    if skip + size <= shallow:
+        return df.orderBy(*order).offset(skip).limit(size)
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    chosen, first, before = [], 0, 0
+    for part, n in counts:
+        if before < skip + size and before + n > skip:
+            if not chosen:
+                first = before
+            chosen.append(part)
+        before += n
+    inside = ranged.where(F.col("_range").isin(chosen)).drop("_range")
+    return inside.orderBy(*order).offset(skip - first).limit(size)
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:

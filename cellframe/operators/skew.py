@@ -9,28 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
     how: str = "left",
-    salts: int = 16,
+    salts: int | None = None,
     salt_on: list[str] | None = None,
 ) -> DataFrame:
     """Join per-group facts (unique per key) onto rows whose key may be hot.
 
-    The fact side is repeated ``salts`` times, and each row of the big side
-    picks one copy by a hash of its own columns (not at random, so a retried
-    task picks the same). A fact table small enough is still turned into a
-    broadcast by adaptive execution, on its measured size.
+    The fact side is repeated once per salt, and each row of the big side picks
+    one copy by its partition and columns: never at random, so a retried task
+    picks the same, and equal rows from different tasks still part ways. The
+    number of salts grows with the session's shuffle partitions. A fact table
+    small enough is turned into a broadcast by adaptive execution, on its
+    measured size.
     """
-    salt = F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(salts)).cast("int")
+    if salts is None:
+        salts = min(128, max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *(salt_on or big.columns)), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def join_facts(
+    big: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", max_rows: int = 500_000, salt_on: list[str] | None = None
+) -> DataFrame:
+    """Join a small table made from a very large one back onto it.
+
+    The facts (a few numbers per image, say) are written once and counted. Up
+    to ``max_rows`` they are broadcast, and the big side, whose rows may hold
+    whole planes, is not shuffled; beyond that the salted join takes over.
+    """
+    kept = materialize(facts, "facts")
+    if kept.count() <= max_rows:
+        return big.join(F.broadcast(kept), on, how)
+    return salted_join(big, kept, on, how, salt_on=salt_on)
+
+
 def hash_rank(
     df: DataFrame, group: list[str], hash_hex: Column, out: str, count_out: str | None = None, digits: int = 4
 ) -> DataFrame:
@@ -77,8 +98,9 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dic
 
     A histogram per group (aggregated map-side) tells which bins hold the order
     statistics wanted. Only the rows of those bins are looked at again, as
-    (value, count) pairs; camera counts and float32 images have a bounded
-    number of distinct values per bin, so no task sees a whole group.
+    (value, count) pairs counted map-side behind a salted join; camera counts
+    and float32 images have a bounded number of distinct values per bin, so no
+    task sees a whole group, even where most of its pixels are equal.
     """
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
@@ -101,7 +123,7 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dic
             wanted = wanted | holds(idx, F.col("_before"), F.col("_n"))
     chosen = hist.where(wanted).drop("_n")
     pairs = (
-        rows.join(chosen, [*group, "_bin"])
+        salted_join(rows, chosen, [*group, "_bin"], "inner")
         .groupBy(*group, "_bin", "_before", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -6,6 +6,9 @@ from typing import Callable, Iterator, Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from ..operators import embeddings as emb
 from ..operators import predictions as pred
 from ..operators import ranking, tags as tag_ops
 from ..schemas import TAG_KEY
+from ..session import materialize
 
 
 class Predictor(Protocol):
@@ -32,12 +36,10 @@ class NearestCentroid:
     @classmethod
     def fit(cls, df: DataFrame, label: str = "category") -> "NearestCentroid":
         """Class means, aggregated map-side; brings classes * dimensions numbers to the driver."""
-        means = df.select(label, F.posexplode("embedding").alias("i", "v")).groupBy(label, "i").agg(
-            F.avg(F.col("v").cast("double")).alias("m")
-        )
-        rows = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy(label).collect()
-        return cls([r[label] for r in rows], [[e["m"] for e in r["c"]] for r in rows])
-
+        vectors = df.select(label, array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
+        means = vectors.groupBy(label).agg(Summarizer.mean(F.col("v")).alias("m"))
+        rows = means.select(label, vector_to_array("m").alias("c")).orderBy(label).collect()
+        return cls([r[label] for r in rows], [r["c"] for r in rows])
     def load(self):
         c = np.asarray(self.centroids, dtype=np.float64)
         names = np.asarray(self.labels, dtype=object)
@@ -73,7 +75,8 @@ def classify_pool(
     tiles: DataFrame, tags: DataFrame, predictor: Predictor, provenance: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(new tag table, one-row report). Human tags stay; every other tile gets this model's prediction."""
-    scored = predict_tiles(tiles, predictor)
+    # Inference is the dear part: run once, then merged and reported from the stored predictions.
+    scored = materialize(predict_tiles(tiles, predictor), "scored")
     as_tags = scored.select(*TAG_KEY, F.col("pred").alias("category"), F.col("score").alias("confidence"))
     return tag_ops.apply_predictions(tags, as_tags), pred.inference_report(scored, tags, provenance)
 
@@ -84,9 +87,6 @@ def train_probe(df: DataFrame, key: str, val_frac: float = 0.2, seed: int = 0, m
     Returns (model, label list, validation pairs, class weights). Fails if
     either side of the split is empty.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
     split = ranking.stratified_split(df, key, "category", val_frac, seed)
     sizes = split.agg(F.count_if(~F.col("is_val")).alias("t"), F.count_if("is_val").alias("v")).first()
     if not sizes["t"] or not sizes["v"]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import images
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -39,18 +40,15 @@ def reduce_fovs(
     Reduced rows are ``(fov…, y, x, brightfield, target, n_z)``; a field whose
     surface could not be fitted gives an error row instead, and the rest go on.
     """
-    fits = focus_diagnostics(brightfield, fov, params)["fits"]
+    # One row per field, made from every plane: kept aside for the slice and the report.
+    fits = materialize(focus_diagnostics(brightfield, fov, params)["fits"], "fits")
     sharp = images.focal_slice(
         brightfield, fits, fov, params.degree, params.offset_um / params.dz_um, finish=params.finish
     )
     summed = images.sum_project(target, fov)
-    n_z = target.groupBy(*fov).agg(F.count(F.lit(1)).alias("n_z"))
-    from ..operators.skew import salted_join
-
-    both = sharp.withColumnRenamed("value", "brightfield").join(
+    reduced = sharp.withColumnRenamed("value", "brightfield").join(
         summed.withColumnRenamed("value", "target"), [*fov, "y", "x"]
     )
-    reduced = salted_join(both, n_z, fov, "inner", salt_on=["y", "x"])
     report = fits.select(
         *fov, F.lit("reduce").alias("stage"), F.col("error").isNull().alias("success"), "error"
     )

@@ -91,11 +91,11 @@ def _(v: Views):
          round((1100 - o) / 2.3, 6) AS background, round(r / 5.29, 6) AS pedestal FROM fx_counts JOIN d USING (fov)""",
 )
 def _(v: Views):
-    from ..operators.skew import salted_join
+    from ..operators.skew import join_facts
 
     dark = images.dark_frame_statistics(v.count_planes, ["fov"])
     rows = images.explode_pixels(v.count_planes, ["fov", "vec_id"]).drop("values", "height", "width")
-    j = salted_join(rows, dark, ["fov"], "inner", salt_on=["vec_id", "y", "x"])
+    j = join_facts(rows, dark, ["fov"], salt_on=["vec_id", "y", "x"])
     g = F.lit(2.3)
     ph = px.to_photons("value", "offset", g)
     return j.select(
@@ -492,7 +492,7 @@ def _(v: Views):
 
 @query("sum_project", "SELECT fov, y, x, round(sum(value), 6) + 0.0 AS value FROM fx_pixels GROUP BY 1, 2, 3")
 def _(v: Views):
-    return images.sum_project(v.planes, ["fov"]).withColumn("value", r6("value"))
+    return images.sum_project(v.planes, ["fov"]).select("fov", "y", "x", r6("value").alias("value"))
 
 
 # Degree (1, 0) makes the surface a straight line in x, which SQL can fit; other degrees are tested against numpy.

@@ -87,6 +87,30 @@ def test_last_page_is_clamped(spark):
     assert ranking.page_count(df.limit(0), 10).first()[0] == 1
 
 
+def test_deep_pages(spark):
+    rows = [(f"f_cell{i}",) for i in range(1, 501)]
+    df = spark.createDataFrame(rows, "cell_id string").repartition(7)
+    for number in (0, 3, 17, 49, 99):
+        got = [r.cell_id for r in ranking.page(df, "cell_id", number, 10, shallow=0).collect()]
+        start = min(number, 49) * 10
+        assert got == [f"f_cell{i}" for i in range(start + 1, start + 11)]
+
+
+def test_facts_join_either_way(spark, hot):
+    df, rows = hot
+    facts = df.groupBy("g").agg(F.max("v").alias("top"))
+    small = skew.join_facts(df, facts, ["g"])
+    large = skew.join_facts(df, facts, ["g"], max_rows=2)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() == len(rows)
+
+
+def test_percentiles_where_most_values_are_equal(spark):
+    values = [0.0] * 900 + [float(i) for i in range(100)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(5)
+    got = skew.exact_percentiles(df, ["g"], "v", {"a": 50, "b": 95, "c": 99.9}).first()
+    assert (got.a, got.b, got.c) == pytest.approx(tuple(np.percentile(values, [50, 95, 99.9])))
+
+
 def test_index_upsert_replaces_whole_fields(spark):
     def rows(fov, labels):
         return spark.createDataFrame(
