@@ -52,10 +52,17 @@ def non_negative(value) -> Column:
     return F.greatest(_col(value), F.lit(0.0))
 
 
-def effective_background(background, camera_offset, n_z) -> Column:
-    """Solver background for a sum over ``n_z`` planes; NULL where the count is needed but unknown."""
+def effective_background(background, camera_offset, n_z, strict: bool = False) -> Column:
+    """Solver background for a sum over ``n_z`` planes.
+
+    Where the count is needed but unknown: NULL, or with ``strict`` a failed job.
+    """
     offset = _col(camera_offset)
-    return F.when(offset == 0, _col(background)).otherwise(_col(background) + offset * _col(n_z))
+    scaled = _col(background) + offset * _col(n_z)
+    if strict:
+        message = F.lit("the number of summed planes is unknown; reduce the file again or set the offset to 0")
+        scaled = F.when(_col(n_z).isNull(), F.raise_error(message).cast("double")).otherwise(scaled)
+    return F.when(offset == 0, _col(background)).otherwise(scaled)
 
 
 def effective_background_status(camera_offset, n_z) -> Column:

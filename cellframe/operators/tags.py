@@ -39,13 +39,18 @@ def apply_human_tags(tags: DataFrame, edits: DataFrame, order: str = "seq") -> D
     ).where(_set(F.col("category")))
 
 
-def apply_predictions(tags: DataFrame, predictions: DataFrame, mode: str = "replace_ai") -> DataFrame:
+def apply_predictions(
+    tags: DataFrame, predictions: DataFrame, mode: str = "replace_ai", order: str | None = None
+) -> DataFrame:
     """Model tags never replace a human's.
 
     ``replace_ai`` also replaces earlier model tags (an empty category clears
     them); ``untagged_only`` leaves every existing tag alone. ``predictions``
-    has one row per tile: the tag key, ``category``, ``confidence``.
+    has the tag key, ``category`` and ``confidence``, one row per tile, or
+    several with an ``order`` column of which the last counts.
     """
+    if order is not None:
+        predictions = last_per_key(predictions, TAG_KEY, order, "category", "confidence")
     if mode == "untagged_only":
         new = predictions.where(_set(F.col("category"))).join(tags.select(*TAG_KEY), TAG_KEY, "left_anti")
         return tags.select(*TAG_COLUMNS).unionByName(new.select(*TAG_COLUMNS))

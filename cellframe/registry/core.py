@@ -113,8 +113,10 @@ def expand(sql: str) -> str:
                 if name not in needed:
                     needed.append(name)
 
-    visit(sql)
     body = sql.strip()
+    if body.startswith("WITH fx_"):  # expanded already, taken over from another query
+        return body
+    visit(sql)
     if not needed:
         return body
     heads = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
@@ -321,8 +323,11 @@ class Views:
 
     @cached_property
     def tag_events(self):
+        return self.as_tag_events(self.table("events"))
+
+    def as_tag_events(self, events: DataFrame) -> DataFrame:
         ai = F.col("event_type").isin("view", "error")
-        return self.table("events").select(
+        return events.select(
             F.col("user_id").alias("tile"),
             "ts",
             "event_id",

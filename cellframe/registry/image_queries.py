@@ -730,6 +730,18 @@ def _(v: Views):
     )
 
 
+@query(
+    "unpack_tiles",
+    f"""WITH {_TILES}, grid AS (SELECT g.pair, g.label, p // 4 AS ty, p % 4 AS tx FROM g, (SELECT unnest(range(16)) AS p) b)
+        SELECT grid.pair, grid.label, grid.ty, grid.tx, coalesce(brightfield, 0) AS brightfield, coalesce(target, 0) AS target, coalesce(mask, 0) AS mask
+        FROM grid LEFT JOIN tp ON tp.pair = grid.pair AND tp.label = grid.label AND tp.ty = grid.ty AND tp.tx = grid.tx""",
+)
+def _(v: Views):
+    wide, mask = _reduced(v)
+    tiles = export.export_tiles(wide, mask, ["pair"], SIZE, SIZE, "pair", export.TileParams(4, 1.0, 99.0))
+    return export.unpack_tiles(tiles, ["pair", "label"])
+
+
 @query(
     "encode_tiles",
     """SELECT vec_id, string_agg(printf('%.6f', m), ',' ORDER BY b) AS embedding FROM (SELECT vec_id, (y // 2) * 4 + x // 2 AS b,

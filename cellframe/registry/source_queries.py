@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.tags import settle_tag_state
+from ..schemas import TAGS, TILE_INDEX
 from ..session import scratch_dir
-from ..sources import json_meta, tags_text, tile_store
-from .core import Views, query, r6
+from ..sources import json_meta, manifest, tags_text, tile_store
+from ..streaming import jobs
+from .core import REGISTRY, Views, query, r6
 
 KEY = ["project", "fov_id", "cell_id"]
 
@@ -145,3 +148,45 @@ def _(v: Views):
     ))
     text = F.when(k % 11 == 0, F.substring(js, 1, 7)).otherwise(js)
     return json_meta.model_catalog(v.table("part").select("p_partkey", text.alias("value")))
+
+
+@query(
+    "file_manifest",
+    "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', "
+    "'benchmark', 'labels', 'conversations']) || '.parquet' AS name, true AS filled",
+)
+def _(v: Views):
+    files = manifest.file_manifest(v.spark, v.sf_dir, "*.parquet")
+    return files.select("name", (F.col("size") > 0).alias("filled"))
+
+
+# --- incremental forms: a stream over the same rows ends where the batch job does -----
+
+
+@query("tag_stream", REGISTRY["fold_tag_events"].sql)
+def _(v: Views):
+    raw = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    table, checkpoint = scratch_dir(v.spark, "states"), scratch_dir(v.spark, "offsets")
+    jobs.start_tag_table(v.as_tag_events(raw), table, checkpoint, buckets=8).awaitTermination()
+    return settle_tag_state(v.spark.read.parquet(table)).withColumn("confidence", r6("confidence"))
+
+
+@query("tally_stream", REGISTRY["fov_tally"].sql)
+def _(v: Views):
+    tiles_at, tags_at, out, checkpoint = (scratch_dir(v.spark, n) for n in ("tiles", "tags", "tallies", "offsets"))
+    tiles = v.tiles.select(*KEY)
+    tile_store.write_partitions(tiles, tiles_at, ["cell_id"])
+    tile_store.write_partitions(v.tags, tags_at, ["cell_id"])
+    jobs.start_tally_refresh(v.spark, tags_at, tiles_at, out, checkpoint, TAGS, tiles.schema).awaitTermination()
+    return v.spark.read.schema("n_tiles long, n_tagged long, n_human long, untagged long, project string, fov_id string").parquet(out)
+
+
+@query("index_stream", "SELECT cell_id, CAST(label % 20 AS VARCHAR) AS fov_id, label, concat('t/', cell_id) AS crop_path FROM fx_tiles")
+def _(v: Views):
+    feed, index, checkpoint = (scratch_dir(v.spark, n) for n in ("feed", "index", "offsets"))
+    v.tiles.select(
+        "cell_id", (F.col("label") % 20).cast("string").alias("fov_id"), "label", F.concat(F.lit("t/"), "cell_id").alias("crop_path")
+    ).write.parquet(feed)
+    stream = v.spark.readStream.schema(TILE_INDEX).parquet(feed)
+    jobs.start_index_growth(stream, index, checkpoint).awaitTermination()
+    return v.spark.read.schema(TILE_INDEX).parquet(index)
