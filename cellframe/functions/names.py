@@ -14,6 +14,14 @@ TARGET_HINTS = ("dapi", "hoechst")
 TARGET_BAND_NM = (400.0, 500.0)
 
 
+# Fixed value: the characters that count as blank at either end of a name.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(name) -> Column:
+    return F.trim(_col(name), F.lit(BLANKS))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -45,7 +53,7 @@ def cell_id_for(fov_id, label) -> Column:
 
 def category_key(name) -> Column:
     """Identity of a category name: outer whitespace and letter case don't count."""
-    return F.lower(F.regexp_replace(_col(name), r"(?U)^\s+|\s+$", ""))
+    return F.lower(stripped(name))
 
 
 def natural_key(name) -> Column:
@@ -94,16 +102,11 @@ def extract_by_pattern(name, pattern: str) -> Column:
 
 def channel_name_matches(name, hints) -> Column:
     """Hints of up to five letters must be a whole word, longer ones may sit anywhere."""
-    low = F.lower(F.trim(F.coalesce(_col(name), F.lit(""))))
-    words = F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1))
-    out = F.lit(False)
-    short = [h for h in hints if len(h) <= 5]
-    if short:
-        out = out | F.arrays_overlap(words, F.array(*[F.lit(h) for h in short]))
-    for h in hints:
-        if len(h) > 5:
-            out = out | F.contains(low, F.lit(h))
-    return out
+    low = F.lower(F.coalesce(_col(name), F.lit("")))
+    words = "|".join(re.escape(h) for h in hints if len(h) <= 5)
+    tests = [f"(?<![a-z])(?:{words})(?![a-z])"] if words else []
+    tests += [re.escape(h) for h in hints if len(h) > 5]
+    return low.rlike("|".join(tests))
 
 
 def parse_vocab_header(line) -> Column:
@@ -115,11 +118,11 @@ def parse_vocab_header(line) -> Column:
     raw = _col(line)
     is_header = raw.rlike(r"^#categories($|[^\p{L}\p{N}])")
     rest = F.regexp_replace(F.substring(raw, 12, 1 << 20), r"^:+", "")
-    rest = F.regexp_replace(rest, r"(?U)^\s+|\s+$", "")
+    rest = stripped(rest)
     parts = (
         F.when(F.contains(rest, F.lit("\t")), F.split(rest, "\t"))
         .when(F.contains(rest, F.lit(",")), F.split(rest, ","))
         .otherwise(F.split(rest, " "))
     )
-    names = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    names = F.transform(parts, stripped)
     return F.when(is_header, F.filter(names, lambda n: n != ""))

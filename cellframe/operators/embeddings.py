@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import literal_table, materialize
 
 METRICS = ("euclidean", "cosine", "correlation", "manhattan")
 
@@ -225,7 +225,7 @@ def knn_accuracy(df: DataFrame, k: int = 5, val_frac: float = 0.2, seed: int = 0
     spark = df.sparkSession
     schema = "n_train long, n_val long, accuracy double"
     if not sizes["t"] or not sizes["v"] or sizes["a"] == sizes["b"]:
-        return spark.createDataFrame([(sizes["t"], sizes["v"], None)], schema)
+        return literal_table(spark, [(sizes["t"], sizes["v"], None)], schema)
     val = split.where("is_val")
     neighbors = knn_join(val, split.where("not is_val"), min(k, sizes["t"]), n_queries=sizes["v"], n_corpus=sizes["t"])
     scored = knn_vote(neighbors).join(val.select(F.col("id").alias("query_id"), "label"), "query_id")

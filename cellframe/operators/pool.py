@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import literal_table, materialize
 from .skew import salted_join
 from .tags import tag_tiles
 
@@ -71,9 +71,7 @@ def annotation_stats(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -
     """
     spark = tiles.sparkSession
     schema = "category string, n long, n_human long, position int"
-    listed = spark.createDataFrame(
-        [(None, 0, 0, -1), *[(c, 0, 0, i) for i, c in enumerate(vocabulary)]], schema
-    )
+    listed = literal_table(spark, [(None, 0, 0, -1), *[(c, 0, 0, i) for i, c in enumerate(vocabulary)]], schema)
     counts = fov_category_counts(tiles, tags).select("category", "n", "n_human", F.lit(len(vocabulary)).alias("position"))
     rows = counts.unionByName(listed).groupBy("category").agg(
         F.sum("n").alias("n_tiles"), F.sum("n_human").alias("n_human"), F.min("position").alias("position")
@@ -130,7 +128,7 @@ def checked_fovs(fovs: DataFrame, roots: DataFrame, excluded: DataFrame, scope:
 
 
 def add_project(roots: DataFrame, project: str) -> DataFrame:
-    new = roots.sparkSession.createDataFrame([(project,)], "project string")
+    new = literal_table(roots.sparkSession, [(project,)], "project string")
     return roots.select("project").union(new).distinct()
 
 

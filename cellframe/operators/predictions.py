@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TAG_KEY
+from ..session import literal_table
+from .skew import salted_join
 
 
 def reconcile_predictions(predictions: DataFrame, tags: DataFrame) -> DataFrame:
@@ -75,8 +77,6 @@ def inference_report(
     else:
         r = seen_in_training(r, provenance, key)
         known = provenance.select(*key[:-1]).distinct().withColumn("_known", F.lit(True))
-        from .skew import salted_join
-
         r = salted_join(r, known, key[:-1], "left", salt_on=[key[-1]])
     human = F.col("status") == "human"
     unseen = human & ~F.coalesce(F.col("seen"), F.lit(False))
@@ -108,7 +108,7 @@ def prediction_counts(predictions: DataFrame) -> DataFrame:
 
 def evaluate_predictions(pairs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Accuracy per class of ``(truth, pred)`` pairs; a class without examples scores 0."""
-    classes = pairs.sparkSession.createDataFrame([(c,) for c in vocabulary], "truth string")
+    classes = literal_table(pairs.sparkSession, [(c,) for c in vocabulary], "truth string")
     counts = pairs.groupBy("truth").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("truth") == F.col("pred")).alias("n_correct")
     )
@@ -138,7 +138,7 @@ def class_weights(labels: DataFrame, column: str, vocabulary: list) -> DataFrame
     """Inverse-frequency weight per listed class; a missing class weighs as if seen once."""
     spark = labels.sparkSession
     kind = labels.schema[column].dataType.simpleString()
-    classes = spark.createDataFrame([(c,) for c in vocabulary], f"{column} {kind}")
+    classes = literal_table(spark, [(c,) for c in vocabulary], f"{column} {kind}")
     counts = labels.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     joined = counts.join(classes.withColumn("_listed", F.lit(True)), column, "full_outer")
     # One row per class; the total also counts labels outside the list.

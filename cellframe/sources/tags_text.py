@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import parse_vocab_header, strip_legacy_suffix
+from ..functions.names import parse_vocab_header, strip_legacy_suffix, stripped
 from ..schemas import TAG_KEY
 
 FILE_PATTERN = r"([^/]+)/05_tiles/([^/]+)\.txt$"
@@ -91,7 +91,7 @@ def write_tags(tags: DataFrame, path: str) -> None:
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """``project=…/`` folders of one name per line; blank and ``#`` lines don't count."""
     raw = spark.read.schema("value string, project string").text(path)
-    name = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    name = stripped("value")
     at = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())
     rows = raw.select("project", name.alias("category"), F.startswith("value", F.lit("#")).alias("_note"), at.alias("at"))
     rows = rows.where((F.col("category") != "") & ~F.col("_note"))
