@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
 from ..session import materialize
-from .skew import hash_rank
+from .skew import mark_first_by_hash, salted_join
 from .tags import last_per_key
 
 
@@ -71,12 +71,14 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def stratified_split(
     df: DataFrame, key: str, label: str, val_frac: float = 0.2, seed: int = 0, out: str = "is_val"
 ) -> DataFrame:
-    """Split every class on its own: max(1, round-half-even(n * frac)) rows validate, none of a single-row class."""
-    ranked = hash_rank(df, [label], seeded_hash(F.col(key), seed), "_rank", "_class_n")
-    n_val = F.when(
-        F.col("_class_n") > 1, F.greatest(F.lit(1.0), F.rint(F.col("_class_n") * F.lit(val_frac)))
-    ).otherwise(F.lit(0.0))
-    return ranked.withColumn(out, F.col("_rank") <= n_val).drop("_rank", "_class_n")
+    """Split every class on its own: max(1, round-half-even(n * frac)) rows validate, none of a single-row class.
+
+    ``key`` is unique; membership follows the hash order of key and seed.
+    """
+    def n_val(n):
+        return F.when(n > 1, F.greatest(F.lit(1.0), F.rint(n * F.lit(val_frac)))).otherwise(F.lit(0.0))
+
+    return mark_first_by_hash(df, [label], seeded_hash(F.col(key), seed), n_val, out)
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -97,8 +99,6 @@ def upsert_tile_index(
 ) -> DataFrame:
     """Replace all rows of re-exported fields of view, even those that come back empty."""
     replaced = (fov_ids if fov_ids is not None else records).select("fov_id").distinct()
-    from .skew import salted_join
-
     kept = salted_join(existing, replaced, ["fov_id"], "left_anti", salt_on=["cell_id"])
     both = concat_index(kept.withColumn("_src", F.lit(0)), records.withColumn("_src", F.lit(1)))
     return keep_last(both, ["cell_id"], ["_src", "label", "fov_id", "crop_path"]).drop("_src")

@@ -52,36 +52,40 @@ def join_facts(
     return salted_join(big, kept, on, how, salt_on=salt_on)
 
 
-def hash_rank(
-    df: DataFrame, group: list[str], hash_hex: Column, out: str, count_out: str | None = None, digits: int = 4
-) -> DataFrame:
-    """1-based rank inside each group, in the order of a uniform hex hash.
+def mark_first_by_hash(df: DataFrame, group: list[str], hash_hex: Column, wanted, out: str, digits: int = 4) -> DataFrame:
+    """Flag the first ``wanted(n)`` rows of each group of ``n``, in the order of a uniform hex hash of a unique key.
 
-    Rows are cut into buckets by the first hex digits, which keep the order;
-    counts per bucket give each bucket its offset, so only rows of the same
-    bucket are ever sorted together.
+    Counts per leading hex digits find the one bucket where the wanted number is
+    reached; only that bucket's rows are ranked, which gives each group a cutoff
+    hash. Flagging is then a comparison on every row: however large a group is,
+    its rows are never sorted and, the cutoffs being few, not even shuffled.
     """
-    rows = df.withColumn("_h", hash_hex).withColumn("_b", F.substring("_h", 1, digits))
-    return _ranked_by_bucket(rows, group, F.col("_h"), out, count_out).drop("_h", "_b")
-
+    keyed = df.select(*group, hash_hex.alias("_h")).withColumn("_b", F.substring("_h", 1, digits))
+    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_want", wanted(F.sum("_n").over(Window.partitionBy(*group))).cast("long")
+    )
+    edge = counts.where((F.col("_off") < F.col("_want")) & (F.col("_off") + F.col("_n") >= F.col("_want")))
+    at_edge = join_facts(keyed, edge.drop("_n"), [*group, "_b"])
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h")) + F.col("_off")
+    cutoff = at_edge.withColumn("_r", rank).where(F.col("_r") == F.col("_want")).select(*group, F.col("_h").alias("_cut"))
+    marked = join_facts(df, cutoff, group, "left")
+    return marked.withColumn(out, F.coalesce(hash_hex <= F.col("_cut"), F.lit(False))).drop("_cut")
 
-def blocked_rank(
-    df: DataFrame, group: list[str], key: str, out: str, count_out: str | None = None, block: int = 4096
-) -> DataFrame:
-    """1-based rank of an integer key, unique in its group, through blocks of the key range."""
-    rows = df.withColumn("_b", F.floor(F.col(key) / F.lit(block)))
-    return _ranked_by_bucket(rows, group, F.col(key), out, count_out).drop("_b")
 
+def blocked_rank(df: DataFrame, group: list[str], key: str, out: str, block: int = 4096) -> DataFrame:
+    """1-based rank of an integer key, unique in its group.
 
-def _ranked_by_bucket(rows, group, order, out, count_out):
+    Rows are cut into blocks of the key range; counts per block give each block
+    its offset, so only rows of the same block are ever sorted together.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(key) / F.lit(block)))
     counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if count_out:
-        offsets = offsets.withColumn(count_out, F.sum("_n").over(Window.partitionBy(*group)))
-    joined = rows.join(offsets.drop("_n"), [*group, "_b"])
-    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order))
-    return joined.withColumn(out, inside + F.col("_off")).drop("_off")
+    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(key))
+    return rows.join(offsets, [*group, "_b"]).withColumn(out, inside + F.col("_off")).drop("_off", "_b")
 
 
 def _value_bin(v: Column) -> Column:
@@ -98,7 +102,7 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dic
 
     A histogram per group (aggregated map-side) tells which bins hold the order
     statistics wanted. Only the rows of those bins are looked at again, as
-    (value, count) pairs counted map-side behind a salted join; camera counts
+    (value, count) pairs counted map-side; camera counts
     and float32 images have a bounded number of distinct values per bin, so no
     task sees a whole group, even where most of its pixels are equal.
     """
@@ -123,7 +127,7 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dic
             wanted = wanted | holds(idx, F.col("_before"), F.col("_n"))
     chosen = hist.where(wanted).drop("_n")
     pairs = (
-        salted_join(rows, chosen, [*group, "_bin"], "inner")
+        join_facts(rows, chosen, [*group, "_bin"])
         .groupBy(*group, "_bin", "_before", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

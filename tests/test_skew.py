@@ -35,14 +35,17 @@ def test_percentiles_of_signed_zeros_and_tiny_values(spark):
     assert (got.lo, got.mid, got.hi) == (-7.5, 0.0, 1e300)
 
 
-def test_hash_rank_is_the_order_of_the_hash(hot):
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_first_by_hash(hot, digits):
     df, rows = hot
-    out = skew.hash_rank(df, ["g"], F.md5(F.col("id").cast("string")), "rank", "n", digits=2)
-    got = {(r.g, r.id): (r["rank"], r.n) for r in out.collect()}
+    md5 = F.md5(F.col("id").cast("string"))
+    out = skew.mark_first_by_hash(df, ["g"], md5, lambda n: F.floor(n * 0.3), "first", digits)
+    got = {(r.g, r.id): r["first"] for r in out.collect()}
+    assert len(got) == len(rows)
     for g in {r[0] for r in rows}:
         ids = sorted((hashlib.md5(str(r[1]).encode()).hexdigest(), r[1]) for r in rows if r[0] == g)
         for k, (_, i) in enumerate(ids):
-            assert got[g, i] == (k + 1, len(ids))
+            assert got[g, i] == (k < int(len(ids) * 0.3))
 
 
 def test_blocked_rank(hot):
