@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.names import strip_legacy_suffix
 from ..schemas import TILE_INDEX
@@ -62,7 +61,3 @@ def write_tile_index(index: DataFrame, path: str) -> None:
 def write_report(report: DataFrame, path: str) -> None:
     """A report as CSV, NULL as the empty string; no byte-order mark."""
     report.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
-
-
-def container_path(project, fov_id):
-    return F.concat_ws("/", project, F.lit("05_tiles"), F.concat(fov_id, F.lit(".tiles")))
