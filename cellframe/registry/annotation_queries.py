@@ -227,7 +227,7 @@ _TAGGED = "fx_tiles t LEFT JOIN fx_tags g USING (project, fov_id, cell_id)"
 @query(
     "fov_tally",
     f"""SELECT t.project, t.fov_id, count(*) AS n_tiles, count(g.category) AS n_tagged,
-       count_if(g.category IS NOT NULL AND g.confidence IS NULL) AS n_human, count_if(g.category IS NULL) AS untagged
+       count(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN 1 END) AS n_human, count(CASE WHEN g.category IS NULL THEN 1 END) AS untagged
        FROM {_TAGGED} GROUP BY 1, 2""",
 )
 def _(v: Views):
@@ -236,7 +236,7 @@ def _(v: Views):
 
 @query(
     "pool_summary",
-    f"""SELECT project, fov_id, category, count(*) AS n_tiles, count_if(human) AS n_human FROM (
+    f"""SELECT project, fov_id, category, count(*) AS n_tiles, count(CASE WHEN human THEN 1 END) AS n_human FROM (
          SELECT t.project, t.fov_id, coalesce(g.category, '(untagged)') AS category,
            (g.category IS NOT NULL AND g.confidence IS NULL) AS human FROM {_TAGGED})
        GROUP BY ROLLUP (project, fov_id, category)""",
@@ -259,12 +259,12 @@ def _(v: Views):
 
 @query(
     "annotation_stats",
-    f"""WITH c AS (SELECT g.category, count(*) AS n, count_if(g.confidence IS NULL) AS h FROM {_TAGGED}
+    f"""WITH c AS (SELECT g.category, count(*) AS n, count(CASE WHEN g.confidence IS NULL THEN 1 END) AS h FROM {_TAGGED}
            WHERE g.category IS NOT NULL GROUP BY 1),
        names AS (SELECT unnest(['bud', 'single', 'tetrad', 'two', 'unused']) AS category UNION SELECT category FROM c)
        SELECT category, coalesce(n, 0) AS n_tiles, round(100.0 * coalesce(n, 0) / (SELECT sum(n) FROM c), 6) AS percent,
          coalesce(h, 0) AS n_human FROM names LEFT JOIN c USING (category)
-       UNION ALL SELECT 'Un-annotated', count_if(g.category IS NULL), NULL, NULL FROM {_TAGGED}""",
+       UNION ALL SELECT 'Un-annotated', count(CASE WHEN g.category IS NULL THEN 1 END), NULL, NULL FROM {_TAGGED}""",
 )
 def _(v: Views):
     return pool.annotation_stats(v.tiles, v.tags, [*VOCABULARY, "unused"]).select(
@@ -273,13 +273,13 @@ def _(v: Views):
 
 
 _CATS = ["bud", "single", "tetrad", "two", "junk"]
-_PIVOT = ", ".join(f"count_if(g.category = '{c}') AS {c}" for c in _CATS)
+_PIVOT = ", ".join(f"count(CASE WHEN g.category = '{c}' THEN 1 END) AS {c}" for c in _CATS)
 
 
 @query(
     "results_table",
-    f"""WITH r AS (SELECT t.project, t.fov_id AS fov, count(*) AS tiles, {_PIVOT}, count_if(g.category IS NULL) AS unclassified,
-         count_if(g.category IS NOT NULL AND g.confidence IS NULL) AS human_set FROM {_TAGGED} GROUP BY 1, 2)
+    f"""WITH r AS (SELECT t.project, t.fov_id AS fov, count(*) AS tiles, {_PIVOT}, count(CASE WHEN g.category IS NULL THEN 1 END) AS unclassified,
+         count(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN 1 END) AS human_set FROM {_TAGGED} GROUP BY 1, 2)
        SELECT * FROM r UNION ALL SELECT '', concat('All ', count(*), ' FOV(s)'), CAST(sum(tiles) AS BIGINT),
          {", ".join(f"CAST(sum({c}) AS BIGINT)" for c in _CATS)}, CAST(sum(unclassified) AS BIGINT), CAST(sum(human_set) AS BIGINT) FROM r""",
 )
@@ -405,7 +405,7 @@ def _(v: Views):
     return vocab.union_vocabulary(n, ["fov", "position"])
 
 
-_DECLARED = """declared AS (SELECT DISTINCT project, fov_id, unnest([1, 2]) AS position, unnest(['two', 'single']) AS category
+_DECLARED = """declared AS (SELECT DISTINCT project, fov_id, CAST(unnest([1, 2]) AS BIGINT) AS position, unnest(['two', 'single']) AS category
     FROM fx_tiles WHERE project = 'p1')"""
 
 
@@ -421,7 +421,7 @@ def _declared(v: Views):
 @query(
     "fallback_vocabulary",
     f"""WITH {_DECLARED} SELECT project, fov_id, position, category FROM declared UNION ALL
-       SELECT project, fov_id, CAST(row_number() OVER (PARTITION BY project, fov_id ORDER BY category) AS INTEGER), category
+       SELECT project, fov_id, row_number() OVER (PARTITION BY project, fov_id ORDER BY category), category
        FROM (SELECT DISTINCT project, fov_id, category FROM fx_tags WHERE project <> 'p1')""",
 )
 def _(v: Views):
@@ -447,7 +447,7 @@ def _(v: Views):
 
 @query(
     "remove_category",
-    "SELECT DISTINCT project, 1 AS position, 'two' AS category FROM fx_tiles WHERE project = 'p1'",
+    "SELECT DISTINCT project, CAST(1 AS BIGINT) AS position, 'two' AS category FROM fx_tiles WHERE project = 'p1'",
 )
 def _(v: Views):
     return vocab.remove_category(_project_vocab(v), "single")
@@ -621,7 +621,7 @@ def _(v: Views):
 
 @query(
     "keep_last",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
        ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1""",
 )
 def _(v: Views):
@@ -668,4 +668,4 @@ def _(v: Views):
     fov = F.expr("try_cast(fov_id as bigint)")
     new = new.where(fov % 2 == 0)
     redone = new.select("fov_id").union(old.where(fov % 11 == 1).select("fov_id"))
-    return ranking.upsert_tile_index(old, new, redone)
+    return ranking.upsert_tile_index(old, new, redone).select(*old.columns)

@@ -9,6 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import cell_id_for
 from ..session import materialize
@@ -21,7 +22,10 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Views(spark, sf_dir))
+        """Results carry whole numbers as BIGINT, as the SQL does."""
+        out = self.build(Views(spark, sf_dir))
+        whole = {f.name: F.col(f"`{f.name}`").cast("long") for f in out.schema.fields if isinstance(f.dataType, T.IntegerType)}
+        return out.withColumns(whole) if whole else out
 
 
 REGISTRY: dict[str, Query] = {}
@@ -69,7 +73,7 @@ VIEW_SQL: dict[str, str] = {
     "fx_names": """SELECT event_id, user_id % 10 AS fov,
         CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN concat(' ', event_type) ELSE event_type END AS name
         FROM events""",
-    "fx_planes": """SELECT vec_id // 16 AS fov, vec_id % 16 AS z, vec_id, label AS class, embedding FROM embeddings""",
+    "fx_planes": """SELECT vec_id // 16 AS fov, vec_id % 16 AS z, vec_id, CAST(label AS BIGINT) AS class, embedding FROM embeddings""",
     "fx_pixels": """SELECT fov, z, vec_id, class, pos // 8 AS y, pos % 8 AS x, CAST(v AS DOUBLE) AS value FROM
         (SELECT fov, z, vec_id, class, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM fx_planes)""",
     "fx_counts": """SELECT fov, z, vec_id, y, x, round_even(CAST(value AS DOUBLE) * 1000, 0) + 1000 AS value FROM fx_pixels""",
@@ -83,7 +87,7 @@ VIEW_SQL: dict[str, str] = {
         FROM lineitem WHERE l_suppkey % 10 <> 5 AND l_partkey % 10 = l_suppkey % 10 GROUP BY 1, 2""",
     "fx_overrides": """SELECT DISTINCT project, CASE project WHEN 1 THEN '01_reduced' WHEN 4 THEN '03_deconvolved' END AS override
         FROM fx_files""",
-    "fx_epochs": """SELECT l_orderkey AS run_id, l_linenumber AS epoch, max(l_extendedprice) AS avg_loss,
+    "fx_epochs": """SELECT l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS epoch, max(l_extendedprice) AS avg_loss,
         max(1 - l_discount) AS val_accuracy,
         CASE WHEN l_linenumber % 2 = 0 AND l_orderkey % 3 > 0 THEN max(1 - l_tax) END AS knn_accuracy
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",

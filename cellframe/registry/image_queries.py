@@ -19,7 +19,7 @@ SIZE = 8
 @query(
     "stretch_to_uint8",
     """WITH b AS (SELECT vec_id, quantile_cont(value, 0.001) AS lo, quantile_cont(value, 0.999) AS hi FROM fx_pixels GROUP BY 1)
-       SELECT vec_id, y, x, CASE WHEN hi <= lo THEN 0 ELSE CAST(floor(least(greatest((value - lo) / (hi - lo), 0), 1) * 255) AS INTEGER) END AS value
+       SELECT vec_id, y, x, CASE WHEN hi <= lo THEN 0 ELSE CAST(floor(least(greatest((value - lo) / (hi - lo), 0), 1) * 255) AS BIGINT) END AS value
        FROM fx_pixels JOIN b USING (vec_id)""",
 )
 def _(v: Views):
@@ -41,7 +41,7 @@ def _(v: Views):
 
 @query(
     "uint16_cast",
-    """SELECT vec_id, y, x, CAST(least(greatest(round_even(value * 200000, 0), 0), 65535) AS INTEGER) AS counts,
+    """SELECT vec_id, y, x, CAST(least(greatest(round_even(value * 200000, 0), 0), 65535) AS BIGINT) AS counts,
        round(greatest(value, 0), 6) AS signal FROM fx_pixels""",
 )
 def _(v: Views):
@@ -72,8 +72,8 @@ def _(v: Views):
 @query(
     "psf_spacing_audit",
     """SELECT p_partkey, psf, img, coalesce(abs(psf - img / 1.5) <= 0.02 * (img / 1.5), true) AS ok FROM (SELECT p_partkey,
-         CASE WHEN p_size % 10 <> 0 THEN 0.04 + (p_partkey % 11) * 0.001 END AS psf,
-         CASE WHEN p_partkey % 7 <> 0 THEN 0.065 END AS img FROM part)""",
+         CAST(CASE WHEN p_size % 10 <> 0 THEN 0.04 + (p_partkey % 11) * 0.001 END AS DOUBLE) AS psf,
+         CAST(CASE WHEN p_partkey % 7 <> 0 THEN 0.065 END AS DOUBLE) AS img FROM part)""",
 )
 def _(v: Views):
     p = v.table("part").select(
@@ -117,9 +117,9 @@ def _(v: Views):
            least(greatest((c2 - 0.0) / 0.2, 0), 1) * 0.5 AS t2 FROM c),
        a AS (SELECT *, least(t0 * 0.9, 1) AS r0, least(t0 * 0.9, 1) AS g0, least(t0 * 0.9, 1) AS b0 FROM t),
        b AS (SELECT *, least(r0 + t1 * 0.0, 1) AS r1, least(g0 + t1 * 0.6, 1) AS g1, least(b0 + t1 * 1.0, 1) AS b1 FROM a)
-       SELECT fov, y, x, CAST(floor(least(greatest(r1 * (1 - t2) + t2 * 1.0, 0), 1) * 255) AS INTEGER) AS r,
-         CAST(floor(least(greatest(g1 * (1 - t2) + t2 * 0.5, 0), 1) * 255) AS INTEGER) AS g,
-         CAST(floor(least(greatest(b1 * (1 - t2) + t2 * 0.0, 0), 1) * 255) AS INTEGER) AS b FROM b
+       SELECT fov, y, x, CAST(floor(least(greatest(r1 * (1 - t2) + t2 * 1.0, 0), 1) * 255) AS BIGINT) AS r,
+         CAST(floor(least(greatest(g1 * (1 - t2) + t2 * 0.5, 0), 1) * 255) AS BIGINT) AS g,
+         CAST(floor(least(greatest(b1 * (1 - t2) + t2 * 0.0, 0), 1) * 255) AS BIGINT) AS b FROM b
        WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL""",
 )
 def _(v: Views):
@@ -135,7 +135,7 @@ def _(v: Views):
 
 @query(
     "masked_pixels",
-    """SELECT vec_id, y, x, round(CASE WHEN value > 0.02 THEN (CAST(round_even(value * 200, 0) AS INTEGER) + 100) / 255.0 ELSE 0 END, 6) AS value
+    """SELECT vec_id, y, x, round(CASE WHEN value > 0.02 THEN (CAST(round_even(value * 200, 0) AS BIGINT) + 100) / 255.0 ELSE 0 END, 6) AS value
        FROM fx_pixels""",
 )
 def _(v: Views):
@@ -150,7 +150,7 @@ def _(v: Views):
          (0.0, 0.0, -0.1, 0.25), (-0.1, 0.25, -0.2, -0.15)),
        p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py FROM embeddings)
        SELECT vec_id FROM p, e GROUP BY vec_id
-       HAVING count_if((y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * ((x2 - x1) / (y2 - y1))) % 2 = 1""",
+       HAVING count(CASE WHEN (y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * ((x2 - x1) / (y2 - y1)) THEN 1 END) % 2 = 1""",
 )
 def _(v: Views):
     lasso = [(-0.2, -0.15), (0.15, -0.2), (0.25, 0.1), (0.0, 0.0), (-0.1, 0.25)]
@@ -279,8 +279,8 @@ def _(v: Views):
 
 @query(
     "mask_iou",
-    """WITH m AS (SELECT vec_id // 2 AS pair, y, x, count_if(vec_id % 2 = 0) AS a, count_if(vec_id % 2 = 1) AS b FROM fx_mask GROUP BY 1, 2, 3)
-       SELECT pair, count_if(a > 0 AND b > 0) AS n_both, count(*) AS n_union, round(count_if(a > 0 AND b > 0) / count(*), 6) AS iou FROM m GROUP BY 1""",
+    """WITH m AS (SELECT vec_id // 2 AS pair, y, x, count(CASE WHEN vec_id % 2 = 0 THEN 1 END) AS a, count(CASE WHEN vec_id % 2 = 1 THEN 1 END) AS b FROM fx_mask GROUP BY 1, 2, 3)
+       SELECT pair, count(CASE WHEN a > 0 AND b > 0 THEN 1 END) AS n_both, count(*) AS n_union, round(count(CASE WHEN a > 0 AND b > 0 THEN 1 END) / count(*), 6) AS iou FROM m GROUP BY 1""",
 )
 def _(v: Views):
     m = v.mask.select(F.floor(F.col("vec_id") / 2).alias("pair"), "vec_id", F.col("y").alias("ty"), F.col("x").alias("tx"))
@@ -293,8 +293,8 @@ def _(v: Views):
     """WITH m AS (SELECT vec_id // 2 AS pair, y, x, vec_id % 2 AS side FROM fx_mask),
        c AS (SELECT pair, side, CASE side WHEN 0 THEN y - 4 ELSE y - 3 END AS y, CASE side WHEN 0 THEN x - 4 ELSE x - 3 END AS x FROM m
              WHERE side = 0 OR (y < 6 AND x < 6)),
-       p AS (SELECT pair, y, x, count_if(side = 0) AS a, count_if(side = 1) AS b FROM c WHERE y BETWEEN -3 AND 2 AND x BETWEEN -3 AND 2 GROUP BY 1, 2, 3)
-       SELECT pair, count_if(a > 0 AND b > 0) AS n_both, count(*) AS n_union, round(count_if(a > 0 AND b > 0) / count(*), 6) AS iou FROM p GROUP BY 1""",
+       p AS (SELECT pair, y, x, count(CASE WHEN side = 0 THEN 1 END) AS a, count(CASE WHEN side = 1 THEN 1 END) AS b FROM c WHERE y BETWEEN -3 AND 2 AND x BETWEEN -3 AND 2 GROUP BY 1, 2, 3)
+       SELECT pair, count(CASE WHEN a > 0 AND b > 0 THEN 1 END) AS n_both, count(*) AS n_union, round(count(CASE WHEN a > 0 AND b > 0 THEN 1 END) / count(*), 6) AS iou FROM p GROUP BY 1""",
 )
 def _(v: Views):
     m = v.mask.select(F.floor(F.col("vec_id") / 2).alias("pair"), "vec_id", F.col("y").alias("ty"), F.col("x").alias("tx"))
@@ -374,7 +374,7 @@ def _as_fov(df):
 @query(
     "carry_over_tags",
     f"""WITH {_OLD}, tg AS (SELECT 'p' AS project, concat('f', pair) AS fov_id, printf('f%d_cell%05d', pair, old_label) AS cell_id,
-         CASE WHEN old_label % 2 = 0 THEN 'bud' ELSE 'two' END AS category, CASE WHEN old_label = 3 THEN 0.25 END AS confidence, pair, old_label FROM c
+         CASE WHEN old_label % 2 = 0 THEN 'bud' ELSE 'two' END AS category, CAST(CASE WHEN old_label = 3 THEN 0.25 END AS DOUBLE) AS confidence, pair, old_label FROM c
          WHERE old_label < 4),
        r AS (SELECT pair, old_label, CASE WHEN new_label IS NOT NULL AND count(*) OVER (PARTITION BY pair, new_label) = 1 THEN new_label END AS new_label FROM matched WHERE old_label < 4),
        j AS (SELECT tg.*, r.new_label FROM tg JOIN r USING (pair, old_label))
@@ -499,7 +499,7 @@ def _(v: Views):
 _FIT = _PEAKS + """,
     pts AS (SELECT fov, CAST(z_index AS DOUBLE) AS z, 2.0 * ((tile_x * 3 + least(tile_x * 3 + 3, 8) - 1) / 2.0) / 7 - 1 AS x FROM peaks WHERE z_index > 0),
     fit AS (SELECT f.fov, n_points, CASE WHEN n_points >= 2 THEN regr_intercept(z, x) END AS c0, CASE WHEN n_points >= 2 THEN regr_slope(z, x) END AS c1
-       FROM (SELECT fov, count_if(z_index > 0) AS n_points FROM peaks GROUP BY 1) f LEFT JOIN pts USING (fov) GROUP BY f.fov, n_points)"""
+       FROM (SELECT fov, count(CASE WHEN z_index > 0 THEN 1 END) AS n_points FROM peaks GROUP BY 1) f LEFT JOIN pts USING (fov) GROUP BY f.fov, n_points)"""
 
 
 def _fits(v: Views):
@@ -576,7 +576,7 @@ _REDUCE = (
 _REDUCE = _REDUCE[: _REDUCE.rindex("SELECT m.fov")] + f""", sharp AS (SELECT m.fov, m.y, m.x,
         sum(w * {px._GAIN!r} * pow({_POLE}, abs(i - pos)) * value) AS v FROM m JOIN img ON img.fov = m.fov AND img.y = m.y AND img.x = m.x GROUP BY 1, 2, 3),
     total AS (SELECT fov, y, x, sum(value) AS target, count(*) AS n_z FROM fx_counts GROUP BY 1, 2, 3)
-    SELECT fov, y, x, CAST(least(greatest(floor(v + 0.5), 0), 65535) AS INTEGER) AS brightfield, target, n_z FROM sharp JOIN total USING (fov, y, x)"""
+    SELECT fov, y, x, CAST(least(greatest(floor(v + 0.5), 0), 65535) AS BIGINT) AS brightfield, target, n_z FROM sharp JOIN total USING (fov, y, x)"""
 
 
 @query("reduce_fovs", f"WITH {_REDUCE}")
@@ -588,8 +588,8 @@ def _(v: Views):
 
 @query(
     "run_report",
-    f"""WITH {_PEAKS} SELECT 'reduce' AS stage, count(*) AS total, count_if(n >= 4) AS done, count_if(n < 4) AS failed FROM
-        (SELECT fov, count_if(z_index > 0) AS n FROM peaks GROUP BY 1)""",
+    f"""WITH {_PEAKS} SELECT 'reduce' AS stage, count(*) AS total, count(CASE WHEN n >= 4 THEN 1 END) AS done, count(CASE WHEN n < 4 THEN 1 END) AS failed FROM
+        (SELECT fov, count(CASE WHEN z_index > 0 THEN 1 END) AS n FROM peaks GROUP BY 1)""",
 )
 def _(v: Views):
     from ..operators.lineage import run_report
@@ -615,7 +615,7 @@ _BLOCKS = """d AS (SELECT vec_id, y, x, value, coalesce(lead(value) OVER (PARTIT
     e AS (SELECT vec_id, quantile_cont(mean, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM b GROUP BY 1),
     s AS (SELECT vec_id, i AS bin, count(*) AS n, quantile_disc(mean, 0.5) AS x, quantile_cont(variance, 0.2) AS y FROM b JOIN e USING (vec_id),
       (SELECT unnest(range(4)) AS i) r WHERE mean >= e[i + 1] AND mean <= e[i + 2] GROUP BY 1, 2 HAVING count(*) >= 4),
-    f AS (SELECT vec_id, count(*) AS n_points, {slope} AS gain, {off} AS off, {read} AS rv, arg_min(y, bin) AS dark, {tot} AS ss FROM s GROUP BY 1),
+    f AS (SELECT vec_id, count(*) AS n_points, {slope} AS gain, CAST({off} AS DOUBLE) AS off, CAST({read} AS DOUBLE) AS rv, arg_min(y, bin) AS dark, {tot} AS ss FROM s GROUP BY 1),
     r AS (SELECT f.vec_id, sum(pow(s.y - (gain * (s.x - off) + rv), 2)) AS res FROM f JOIN s USING (vec_id) GROUP BY 1),
     q AS (SELECT *, CASE WHEN ss > 0 THEN 1 - res / ss ELSE 0 END AS r2 FROM f JOIN r USING (vec_id)),
     o AS (SELECT *, n_points >= 3 AS ok, gain BETWEEN 0.001 AND 10000 AND r2 >= 0.1 AS good FROM q)
@@ -699,11 +699,11 @@ def _reduced(v: Views):
 _TILES = """w AS (SELECT vec_id // 2 AS pair, y, x, max(CASE WHEN vec_id % 2 = 0 THEN value END) AS bf, max(CASE WHEN vec_id % 2 = 1 THEN value END) AS tg FROM fx_pixels GROUP BY 1, 2, 3),
     m AS (SELECT vec_id // 2 AS pair, y, x, label FROM fx_mask WHERE vec_id % 2 = 0),
     g AS (SELECT pair, label, avg(y) AS cy, avg(x) AS cx, CAST(round_even(avg(y), 0) AS BIGINT) - 2 AS sy, CAST(round_even(avg(x), 0) AS BIGINT) - 2 AS sx FROM m GROUP BY 1, 2),
-    c AS (SELECT g.pair, g.label, w.y - sy AS ty, w.x - sx AS tx, bf, tg, CASE WHEN m.label = g.label THEN 255 ELSE 0 END AS mask FROM g
+    c AS (SELECT g.pair, g.label, w.y - sy AS ty, w.x - sx AS tx, bf, tg, CAST(CASE WHEN m.label = g.label THEN 255 ELSE 0 END AS BIGINT) AS mask FROM g
           JOIN w ON w.pair = g.pair AND w.y BETWEEN sy AND sy + 3 AND w.x BETWEEN sx AND sx + 3 LEFT JOIN m ON m.pair = w.pair AND m.y = w.y AND m.x = w.x),
     q AS (SELECT pair, label, quantile_cont(bf, 0.01) AS bl, quantile_cont(bf, 0.99) AS bh, quantile_cont(tg, 0.01) AS tl, quantile_cont(tg, 0.99) AS th FROM c GROUP BY 1, 2),
-    tp AS (SELECT pair, label, ty, tx, CASE WHEN bh <= bl THEN 0 ELSE CAST(floor(least(greatest((bf - bl) / (bh - bl), 0), 1) * 255) AS INTEGER) END AS brightfield,
-       CASE WHEN th <= tl THEN 0 ELSE CAST(floor(least(greatest((tg - tl) / (th - tl), 0), 1) * 255) AS INTEGER) END AS target, mask FROM c JOIN q USING (pair, label))"""
+    tp AS (SELECT pair, label, ty, tx, CASE WHEN bh <= bl THEN 0 ELSE CAST(floor(least(greatest((bf - bl) / (bh - bl), 0), 1) * 255) AS BIGINT) END AS brightfield,
+       CASE WHEN th <= tl THEN 0 ELSE CAST(floor(least(greatest((tg - tl) / (th - tl), 0), 1) * 255) AS BIGINT) END AS target, mask FROM c JOIN q USING (pair, label))"""
 
 
 @query("tile_pixels", f"WITH {_TILES} SELECT * FROM tp")
@@ -745,7 +745,7 @@ def _(v: Views):
 @query(
     "encode_tiles",
     """SELECT vec_id, string_agg(printf('%.6f', m), ',' ORDER BY b) AS embedding FROM (SELECT vec_id, (y // 2) * 4 + x // 2 AS b,
-         CAST(avg(CASE WHEN value > 0.02 THEN (CAST(round_even(value * 200, 0) AS INTEGER) + 100) / 255.0 ELSE 0 END) AS FLOAT) AS m FROM fx_pixels GROUP BY 1, 2) GROUP BY 1""",
+         CAST(avg(CASE WHEN value > 0.02 THEN (CAST(round_even(value * 200, 0) AS BIGINT) + 100) / 255.0 ELSE 0 END) AS FLOAT) AS m FROM fx_pixels GROUP BY 1, 2) GROUP BY 1""",
 )
 def _(v: Views):
     byte = F.rint(F.col("value") * 200).cast("int") + 100

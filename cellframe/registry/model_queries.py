@@ -31,10 +31,10 @@ def _(v: Views):
 @query(
     "inference_report",
     f"""WITH {_REC}, f AS (SELECT *, status = 'human' AS h, pred = category AS a, label % 2 = 0 AS seen FROM rec)
-       SELECT count(*) AS n_total, count_if(status = 'new') AS n_new, count_if(status = 'replaced') AS n_replaced, count_if(h) AS n_human,
-         count_if(h AND a) AS n_agree, count_if(h AND NOT seen) AS n_unseen, count_if(h AND NOT seen AND a) AS n_agree_unseen,
-         round(avg(score), 6) AS mean_confidence, round(count_if(h AND a) / count_if(h), 6) AS accuracy_human,
-         round(count_if(h AND NOT seen AND a) / count_if(h AND NOT seen), 6) AS accuracy_unseen FROM f""",
+       SELECT count(*) AS n_total, count(CASE WHEN status = 'new' THEN 1 END) AS n_new, count(CASE WHEN status = 'replaced' THEN 1 END) AS n_replaced, count(CASE WHEN h THEN 1 END) AS n_human,
+         count(CASE WHEN h AND a THEN 1 END) AS n_agree, count(CASE WHEN h AND NOT seen THEN 1 END) AS n_unseen, count(CASE WHEN h AND NOT seen AND a THEN 1 END) AS n_agree_unseen,
+         round(avg(score), 6) AS mean_confidence, round(count(CASE WHEN h AND a THEN 1 END) / count(CASE WHEN h THEN 1 END), 6) AS accuracy_human,
+         round(count(CASE WHEN h AND NOT seen AND a THEN 1 END) / count(CASE WHEN h AND NOT seen THEN 1 END), 6) AS accuracy_unseen FROM f""",
 )
 def _(v: Views):
     trained = v.tiles.where("label % 2 = 0").select(*KEY)
@@ -44,7 +44,7 @@ def _(v: Views):
 
 @query(
     "inference_report_foreign",
-    f"""WITH {_REC} SELECT count(*) AS n_total, count_if(status = 'human') AS n_human, CAST(NULL AS BIGINT) AS n_unseen, 0 AS n_agree_unseen FROM rec""",
+    f"""WITH {_REC} SELECT count(*) AS n_total, count(CASE WHEN status = 'human' THEN 1 END) AS n_human, CAST(NULL AS BIGINT) AS n_unseen, CAST(0 AS BIGINT) AS n_agree_unseen FROM rec""",
 )
 def _(v: Views):
     elsewhere = v.tiles.select(F.lit("away").alias("project"), "fov_id", "cell_id")
@@ -77,14 +77,14 @@ def _(v: Views):
     return pred.evaluate_predictions(_pairs(v), CLASSES).withColumn("accuracy", r6("accuracy"))
 
 
-@query("overall_accuracy", f"WITH {_PAIRS} SELECT count(*) AS n, round(count_if(truth = pred) / count(*), 6) AS accuracy FROM pr")
+@query("overall_accuracy", f"WITH {_PAIRS} SELECT count(*) AS n, round(count(CASE WHEN truth = pred THEN 1 END) / count(*), 6) AS accuracy FROM pr")
 def _(v: Views):
     return pred.overall_accuracy(_pairs(v)).withColumn("accuracy", r6("accuracy"))
 
 
 @query(
     "confusion_matrix",
-    f"WITH {_PAIRS} SELECT truth, {', '.join(f'''count_if(pred = '{c}') AS {c}''' for c in CLASSES)} FROM pr GROUP BY 1",
+    f"WITH {_PAIRS} SELECT truth, {', '.join(f'''count(CASE WHEN pred = '{c}' THEN 1 END) AS {c}''' for c in CLASSES)} FROM pr GROUP BY 1",
 )
 def _(v: Views):
     return pred.confusion_matrix(_pairs(v), CLASSES)
@@ -140,7 +140,7 @@ def _(v: Views):
 
 @query(
     "target_categories",
-    "SELECT DISTINCT label, label < 8 AS known FROM embeddings",
+    "SELECT DISTINCT CAST(label AS BIGINT) AS label, label < 8 AS known FROM embeddings",
 )
 def _(v: Views):
     return pred.target_categories(v.table("embeddings"), "label", list(range(8)))
@@ -216,10 +216,11 @@ def _(v: Views):
 @query(
     "stratified_split",
     """WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat(vec_id, ':0'))) AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
-       SELECT vec_id, label, CASE WHEN n > 1 THEN rk <= greatest(1, round_even(n * 0.2, 0)) ELSE false END AS is_val FROM r""",
+       SELECT vec_id, CAST(label AS BIGINT) AS label, CASE WHEN n > 1 THEN rk <= greatest(1, round_even(n * 0.2, 0)) ELSE false END AS is_val FROM r""",
 )
 def _(v: Views):
-    return ranking.stratified_split(v.table("embeddings").select("vec_id", "label"), "vec_id", "label")
+    out = ranking.stratified_split(v.table("embeddings").select("vec_id", "label"), "vec_id", "label")
+    return out.select("vec_id", "label", "is_val")
 
 
 def _ids(v: Views):
@@ -259,7 +260,7 @@ _KNN = """r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_numb
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS rn FROM c)"""
 
 
-@query("knn_vote", f"WITH {_KNN} SELECT query_id, label AS predicted FROM b WHERE rn = 1")
+@query("knn_vote", f"WITH {_KNN} SELECT query_id, CAST(label AS BIGINT) AS predicted FROM b WHERE rn = 1")
 def _(v: Views):
     s = ranking.stratified_split(_ids(v), "id", "label")
     return emb.knn_vote(emb.knn_join(s.where("is_val"), s.where("not is_val"), 5))
@@ -322,9 +323,9 @@ def _(v: Views):
 
 @query(
     "classify_pool_report",
-    f"""WITH {_CENTROID} SELECT count(*) AS n_total, count_if(g.category IS NULL) AS n_new, count_if(g.confidence IS NOT NULL) AS n_replaced,
-        count_if(g.category IS NOT NULL AND g.confidence IS NULL) AS n_human, count_if(g.confidence IS NULL AND g.category = pred) AS n_agree,
-        count_if(g.category IS NOT NULL AND g.confidence IS NULL AND vec_id % 2 = 1) AS n_unseen, round(avg(score), 6) AS mean_confidence
+    f"""WITH {_CENTROID} SELECT count(*) AS n_total, count(CASE WHEN g.category IS NULL THEN 1 END) AS n_new, count(CASE WHEN g.confidence IS NOT NULL THEN 1 END) AS n_replaced,
+        count(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN 1 END) AS n_human, count(CASE WHEN g.confidence IS NULL AND g.category = pred THEN 1 END) AS n_agree,
+        count(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL AND vec_id % 2 = 1 THEN 1 END) AS n_unseen, round(avg(score), 6) AS mean_confidence
         FROM sc LEFT JOIN fx_vec_tags g USING (project, fov_id, cell_id)""",
 )
 def _(v: Views):
@@ -433,7 +434,7 @@ _STAGES = ", ".join(f"({i}, '{s}', {str(o).lower()})" for i, s, o in lineage.STA
     "stage_status",
     f"""WITH {_STATUS}, agg AS (SELECT project, stage, bool_and(upstream_available) AS av, bool_and(up_to_date) AS fr FROM st GROUP BY 1, 2),
        cnt AS (SELECT project, stage, count(*) AS n FROM fx_files GROUP BY 1, 2), mk AS (SELECT DISTINCT project FROM fx_masks)
-       SELECT act.project, p.position, p.stage, p.optional, CASE WHEN p.stage = 'segmentation' THEN CASE WHEN mk.project IS NOT NULL THEN 'done' ELSE 'empty' END
+       SELECT act.project, CAST(p.position AS BIGINT) AS position, p.stage, p.optional, CASE WHEN p.stage = 'segmentation' THEN CASE WHEN mk.project IS NOT NULL THEN 'done' ELSE 'empty' END
            WHEN cnt.n IS NULL THEN 'empty' WHEN p.stage IN ('raw', '05_tiles') THEN 'done' WHEN NOT av THEN 'archived' WHEN fr THEN 'done' ELSE 'stale' END AS status,
          coalesce(p.stage = act.source_stage, false) AS active
        FROM act CROSS JOIN (VALUES {_STAGES}) p(position, stage, optional) LEFT JOIN cnt ON cnt.project = act.project AND cnt.stage = p.stage
@@ -509,7 +510,7 @@ def _(v: Views):
     """WITH ch AS (SELECT l_orderkey AS file, l_linenumber AS idx, CASE WHEN l_partkey % 5 = 0 THEN 'BF_100ms' WHEN l_partkey % 5 = 1 THEN 'mTagBFP2' WHEN l_partkey % 5 = 2 THEN 'DAPI'
            WHEN l_partkey % 5 = 3 THEN 'Brightfield2' END AS name, CASE WHEN l_suppkey % 3 = 0 THEN '460' WHEN l_suppkey % 3 = 1 THEN 'n/a' ELSE '520.5' END AS emission FROM lineitem),
        a AS (SELECT file, count(*) AS n, min(idx) FILTER (name IN ('BF_100ms', 'Brightfield2')) AS bf, coalesce(min(idx) FILTER (name = 'DAPI'), min(idx) FILTER (emission = '460')) AS tg FROM ch GROUP BY 1)
-       SELECT file, CASE WHEN n >= 2 AND bf <> tg THEN bf END AS brightfield, CASE WHEN n >= 2 AND bf <> tg THEN tg END AS projection FROM a""",
+       SELECT file, CAST(CASE WHEN n >= 2 AND bf <> tg THEN bf END AS BIGINT) AS brightfield, CAST(CASE WHEN n >= 2 AND bf <> tg THEN tg END AS BIGINT) AS projection FROM a""",
 )
 def _(v: Views):
     m, s = F.col("l_partkey") % 5, F.col("l_suppkey") % 3

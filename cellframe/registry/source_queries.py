@@ -107,9 +107,9 @@ def _(v: Views):
     "load_configs",
     """SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 OR c_custkey % 17 = 0 THEN 'unreadable' ELSE 'ok' END AS status,
          CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 2 = 0 THEN c_mktsegment ELSE '*.ims' END AS raw_pattern,
-         CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 = 0 THEN CAST(c_nationkey AS INTEGER) ELSE 64 END AS tile_size,
+         CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 = 0 THEN CAST(c_nationkey AS BIGINT) ELSE 64 END AS tile_size,
          CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 = 0 THEN round(c_acctbal, 6) ELSE 0.1 END AS contrast_lo_pct,
-         CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 17 <> 0 THEN 77 ELSE 50 END AS num_iter, 99.9 AS contrast_hi_pct, '2,2' AS poly_degree
+         CAST(CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 17 <> 0 THEN 77 ELSE 50 END AS BIGINT) AS num_iter, CAST(99.9 AS DOUBLE) AS contrast_hi_pct, '2,2' AS poly_degree
        FROM customer""",
 )
 def _(v: Views):
@@ -178,7 +178,9 @@ def _(v: Views):
     tile_store.write_partitions(tiles, tiles_at, ["cell_id"])
     tile_store.write_partitions(v.tags, tags_at, ["cell_id"])
     jobs.start_tally_refresh(v.spark, tags_at, tiles_at, out, checkpoint, TAGS, tiles.schema).awaitTermination()
-    return v.spark.read.schema("n_tiles long, n_tagged long, n_human long, untagged long, project string, fov_id string").parquet(out)
+    return v.spark.read.schema("n_tiles long, n_tagged long, n_human long, untagged long, project string, fov_id string").parquet(out).select(
+        "project", "fov_id", "n_tiles", "n_tagged", "n_human", "untagged"
+    )
 
 
 @query("index_stream", "SELECT cell_id, CAST(label % 20 AS VARCHAR) AS fov_id, label, concat('t/', cell_id) AS crop_path FROM fx_tiles")
@@ -189,4 +191,4 @@ def _(v: Views):
     ).write.parquet(feed)
     stream = v.spark.readStream.schema(TILE_INDEX).parquet(feed)
     jobs.start_index_growth(stream, index, checkpoint).awaitTermination()
-    return v.spark.read.schema(TILE_INDEX).parquet(index)
+    return v.spark.read.schema(TILE_INDEX).parquet(index).select(*TILE_INDEX.names)

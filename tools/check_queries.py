@@ -47,10 +47,22 @@ def rows_of(columns, rows):
     return names, sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
+def type_gaps(spark_df, con, sql):
+    have = dict(spark_df.dtypes)
+    want = {r[0]: SQL_TYPES.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (have.get(c), t) for c, t in want.items() if have.get(c) != t}
+
+
 def compare(spark_df, con, sql):
     got_names, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     if sql is None:
         return (f"rows only: {len(got)}", True)
+    gaps = type_gaps(spark_df, con, sql)
+    if gaps:
+        return (f"types {gaps}", False)
     rel = con.execute(sql)
     want_names, want = rows_of([d[0] for d in rel.description], rel.fetchall())
     if got_names != want_names:
