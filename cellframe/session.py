@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,17 +33,29 @@ def local_session(cores: str | int = "*", app: str = "cellframe", shuffle_partit
     return spark
 
 
+_LOCAL_ROOT: list[str] = []
+
+
+def _local_root() -> str:
+    """One folder per process for single-machine sessions, removed when the process ends."""
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="cellframe-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], ignore_errors=True)
+    return _LOCAL_ROOT[0]
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (local tests) a machine-local folder is made and
-    the setting is filled in, so later calls agree.
+    A ``local[...]`` session without that setting gets a folder of its own; any
+    other master refuses, as its executors would not see one another's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="cellframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
