@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .near_text import near_duplicates
+from .near_vectors import near_vectors
 from .packing import pack, with_crc
 from .token_files import read_token_files, write_token_files
 
@@ -27,3 +29,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@register
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
