@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
+from .secrets import digest, scan
+from .secrets import oracle_sql as secrets_sql
 from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +42,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(table(spark, sf_dir, "documents", "doc_id", "text"))[0])
+
+ORACLES["op5_secrets"] = secrets_sql()
