@@ -11,9 +11,11 @@ from .decontaminate import leaks
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
+from .quality import quality_scores
 from .secrets import digest, scan
 from .secrets import oracle_sql as secrets_sql
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +56,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents", "doc_id", "text"))[0])
 
 ORACLES["op5_secrets"] = secrets_sql()
+
+
+@register
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
