@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
+from .ppm import language_scores
 from .quality import quality_scores
 from .secrets import digest, scan
 from .secrets import oracle_sql as secrets_sql
@@ -66,3 +67,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
