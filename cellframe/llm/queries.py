@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import leaks
+from .html_text import main_texts
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
@@ -72,3 +73,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
