@@ -32,6 +32,23 @@ def crc_mod(column, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def in_fold(column, n: int, k: int):
+    """Whether an id falls into fold k of n; a null id falls into none."""
+    return F.coalesce(crc_mod(column, n) == k, F.lit(False))
+
+
+NO_ID = -(1 << 63)
+
+
+def ids_of(batch: pa.RecordBatch, start: int, n: int, column: str = "doc_id") -> np.ndarray:
+    """Ids as numbers; a null id is NO_ID."""
+    return pc.fill_null(batch.column(column).slice(start, n), pa.scalar(NO_ID, pa.int64())).to_numpy(zero_copy_only=False)
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def runs(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[tuple[int, list]]:
     """Slices of a batch's values as (first row, values), each of about ``limit`` characters; one row at least."""
     values = batch.column(column)
@@ -106,4 +123,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-__all__ = ["table", "stored", "materialize", "crc_mod", "runs", "per_batch", "sample_rows", "components", "ascii_words", "mix64", "WORD_SEPARATORS"]
+__all__ = ["table", "stored", "materialize", "crc_mod", "in_fold", "ids_of", "id_array", "NO_ID", "runs", "per_batch", "sample_rows", "components", "ascii_words", "mix64", "WORD_SEPARATORS"]

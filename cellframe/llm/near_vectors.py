@@ -7,7 +7,7 @@ once (in their first table), tested on the whole code and reranked by the cosine
 
 Equal vectors of one label form a class that is looked up once; its size counts in the links of others and its own.
 
-Defined results: null labels, null or zero vectors, vectors with null or non-finite components or of another length
+Defined results: null ids or labels, null or zero vectors, vectors with null or non-finite components or of another length
 than most have no links and are their own component; repeated rows count as links of one another; an empty table
 gives no rows; other columns are ignored.
 """
@@ -49,7 +49,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors`` (columns vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    sound = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
+    sound = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
     sample = sample_rows(sound.select("vec_id", "v"), SAMPLE, "vec_id").toPandas()
     if sample.empty:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

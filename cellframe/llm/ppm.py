@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, runs, stored
+from .common import NO_ID, id_array, ids_of, in_fold, mix64, runs, stored
 
 ORDER, ENTRIES = 5, 2_000_000
 _END = np.uint64(0x5EED0F7E17)  # stands for the end token among word hashes
@@ -127,8 +127,8 @@ def _gather(ranges: int, mod: int, held: int, run_size: int):
         for batch in batches:
             for start, texts in runs(batch, "text", run_size):
                 run += 1
-                ids = batch.column("doc_id").slice(start, len(texts)).to_numpy(zero_copy_only=False)
-                train = np.array([zlib.crc32(b"%d" % i) % mod != held for i in ids.tolist()])
+                ids = ids_of(batch, start, len(texts))
+                train = np.array([i != NO_ID and zlib.crc32(b"%d" % i) % mod != held for i in ids.tolist()])
                 raw = [_bytes(t) for t in texts]
                 hashes, sizes = word_hashes(raw)
                 words, at = np.unique(hashes, return_inverse=True)
@@ -329,7 +329,7 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.frombuffer(tokens.as_buffer(), np.uint32)
             first = np.cumsum(sizes) - sizes
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(sizes), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(c + 1.0)[at], first))],
+                [id_array(ids), pa.array(sizes), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(c + 1.0)[at], first))],
                 names=["doc_id", "n_tokens", "n_known", "logs"])
 
 
@@ -362,8 +362,9 @@ def language_scores(docs: DataFrame, mod: int = 7, held: int = 2, run_size: int
 
 def _side_by_side(scored: DataFrame, base: DataFrame, n: int, v: int, mod: int, held: int) -> DataFrame:
     both = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list("score")).alias("scores")).join(
-        base.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "n_known", "logs")), asc=False).alias("sums")), "doc_id")
+        base.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "n_known", "logs")), asc=False).alias("sums")).withColumnRenamed("doc_id", "same"),
+        F.col("doc_id").eqNullSafe(F.col("same")))
     rows = both.select("doc_id", F.explode(F.arrays_zip("scores", "sums")).alias("r"))
     return rows.select(
-        "doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "r.sums.n_tokens", "r.sums.n_known", F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", in_fold("doc_id", mod, held).alias("held_out"), "r.sums.n_tokens", "r.sums.n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("r.sums.logs") - F.col("r.sums.n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), F.col("r.scores").alias("score"))

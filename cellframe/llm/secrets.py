@@ -9,8 +9,8 @@ Positions come from matches and the gaps between them: ``split`` and ``regexp_ex
 match starts where the gaps and matches before it end. Offsets are code points.
 
 Defined results: a null text is empty; empty texts have no spans; repeated rows get the same findings; an empty table
-gives no rows; other columns are carried through ``scan`` untouched, except that clashing names (``sha256``, ``spans``)
-are replaced.
+gives no rows; other columns are carried through ``scan`` untouched, except that those named like the two new
+ones (parameters ``address`` and ``spans``) are replaced.
 """
 
 from __future__ import annotations
@@ -71,19 +71,18 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataF
     return find_spans(one).select("sha256", F.lit(RULES_VERSION).alias("rules"), "spans").dropDuplicates(["sha256"])
 
 
-def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``sha256`` and ``spans``, and the ledger as it is after the run."""
-    named = docs.drop("sha256", "spans").withColumn("text", F.coalesce("text", F.lit("")))
-    addressed = named.withColumn("sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    fresh = stored(update_ledger(addressed.select("sha256", F.col(path).alias("path"), "text"), ledger), "ledger")
+def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None, address: str = "sha256", spans: str = "spans") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with columns ``address`` and ``spans``, and the ledger as it is after the run."""
+    addressed = docs.drop(address, spans).withColumn("text", F.coalesce("text", F.lit(""))).withColumn(address, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    versions = addressed.select(F.col(address).alias("sha256"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
+    fresh = stored(update_ledger(versions, ledger), "ledger")
     whole = fresh if ledger is None else ledger.unionByName(fresh)
-    hits = whole.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("sha256", "spans")
-    out = addressed.join(hits, "sha256", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
-    return out, whole
+    hits = whole.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("sha256").alias(address), F.col("spans").alias(spans))
+    return addressed.join(hits, address, "left").withColumn(spans, F.coalesce(F.col(spans), F.array().cast(SPAN))), whole
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Texts with ``mark`` in place of every span (overlapping ones once); needs ``spans``, keeps the other columns."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", spans: str = "spans") -> DataFrame:
+    """Texts with ``mark`` in place of every span (overlapping ones once); needs the column ``spans``, keeps the others."""
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -93,8 +92,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         tail = F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
         return F.struct(F.when(fresh, F.concat(acc["done"], piece, tail)).otherwise(acc["done"]).alias("done"), F.when(fresh, s["end"]).otherwise(acc["at"]).alias("at"))
 
-    whole = F.aggregate("spans", start, step, lambda a: F.concat(a["done"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    return docs.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
+    whole = F.aggregate(F.col(spans), start, step, lambda a: F.concat(a["done"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
+    return docs.withColumn("text", F.when(F.size(F.col(spans)) > 0, whole).otherwise(F.col("text")))
 
 
 def _joined(kinds: tuple[str, ...] | None) -> Column:

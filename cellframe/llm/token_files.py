@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import runs, stored
+from .common import id_array, ids_of, runs, stored
 from .tokens import encoder, vocabulary_path
 
 BLOCK, LANES, MAGIC = 256, 8, b"PFOR1"
@@ -149,7 +149,7 @@ def _write(path: str, end: int, file_ids: int):
         for batch in batches:
             for start, texts in runs(batch, "text"):
                 i, n = encoder(path, False).encode(texts, end)
-                docs.append(batch.column("doc_id").slice(start, len(texts)).to_numpy(zero_copy_only=False))
+                docs.append(ids_of(batch, start, len(texts)))
                 sizes.append(n)
                 ids.append(i)
                 held += len(i)
@@ -181,7 +181,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 starts = at + np.cumsum(file.lengths) - file.lengths
                 crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in file.documents()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids), pa.array(starts), pa.array(file.lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [id_array(file.doc_ids), pa.array(starts), pa.array(file.lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
     # one row per write partition

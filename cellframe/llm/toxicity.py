@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sample_rows
+from .common import crc_mod, in_fold, sample_rows
 
 SAMPLE, FACTORS, EPOCHS, BATCH, SURE, LEAST = 4000, 6, 15, 128, 2.5, 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -169,27 +169,55 @@ class _Finder:
         return np.array(sorted(found), np.int64)
 
 
+def _scorer(model, threshold: float):
+    """Scores of texts from a model that ``train`` made."""
+    kept, machine, cut = model
+    weights = (machine.w0, machine.w, machine.v, machine.value)  # terms of the bounded sample only
+    shift = log(threshold / (1 - threshold))
+    made: list = []
+
+    def score(texts: pa.Array) -> np.ndarray:
+        if not made:
+            fm = FactorizationMachine(weights[3])
+            fm.w0, fm.w, fm.v, fm.value = weights
+            made.extend([fm, _Finder(kept)])
+        fm, find = made
+        raw = fm.raw([find(t.as_py()) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(raw - cut + shift, -40, 40)))
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``; rows of the held fold are never learned from."""
     model = train(docs, labels, folds, held)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = (crc_mod("doc_id", folds) == held).alias("held_out")
+    out = in_fold("doc_id", folds, held).alias("held_out")
     if model is None:
         return named.select("doc_id", out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    kept, machine, cut = model
-    shift = log(threshold / (1 - threshold))
-    weights = (machine.w0, machine.w, machine.v, machine.value)  # terms of the bounded sample only
+    score = _scorer(model, threshold)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm = FactorizationMachine(weights[3])
-        fm.w0, fm.w, fm.v, fm.value = weights
-        find = _Finder(kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                raw = fm.raw([find(t.as_py()) for t in part.column("text")])
-                s = 1 / (1 + np.exp(-np.clip(raw - cut + shift, -40, 40)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score(part.column("text")))], names=["doc_id", "score"])
 
-    scored = named.mapInArrow(score, "doc_id long, score double")
+    scored = named.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``, with all their columns, in one pass."""
+    model = train(docs, labels, folds, held)
+    if model is None:
+        return docs
+    score = _scorer(model, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                yield part.filter(pa.array(score(part.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
