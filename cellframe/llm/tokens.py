@@ -15,9 +15,15 @@ def vocabulary_path(name: str) -> str:
 
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _CUT = re.compile(r"(?<=\S) ")
 
 
+#: Byte-level alphabets write printable Latin-1 characters as they are and the other 68 bytes as U+0100 and on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
+
 class _Index(dict):
     """Piece -> number; a piece not met before gets the next number and is noted in ``fresh``."""
 
@@ -31,6 +37,15 @@ class _Index(dict):
         return n
 
 
+def _folded(text: str) -> str:
+    """Lower case and spaces for line ends, as the other kind of tokenizer makes them, where case goes character by character."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower().replace("\n", " ")
+
+
 class PieceEncoder:
     """Ids of a text as the concatenation of the ids of its pieces.
 
@@ -44,20 +59,20 @@ class PieceEncoder:
 
     def __init__(self, path: str, lead: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\x01")
         self.lead, self.limit = lead, limit
         self.index = _Index()
         self.ids, self.starts, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-        if lead:  # ids that begin with a space begin a piece
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        else:
-            self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin or end a piece
+        self.edges[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if lead else token.endswith("</w>"))]] = True
 
     def _forget(self) -> None:
         keep = np.flatnonzero(self.met > 1)
@@ -77,45 +92,113 @@ class PieceEncoder:
                 pieces[order[n]] = piece
         self.index = _Index(pieces)
 
-    def _code(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces and how many each has; many pieces go to the library as one text."""
-        odd = [i for i, p in enumerate(pieces) if not p or " " in p or "\x00" in p or "\u0120" in p] if self.lead else [i for i, p in enumerate(pieces) if "\x00" in p]
-        alone = dict(zip(odd, (c.ids for c in self.tokenizer.encode_batch_fast([" " + pieces[i] if self.lead else pieces[i] for i in odd], add_special_tokens=False)))) if odd else {}
-        plain = [p for i, p in enumerate(pieces) if i not in alone] if alone else pieces
-        glue = " " if self.lead else " \x00 "
-        texts = [glue[: len(glue) if self.lead else 0] + glue.join(plain[i : i + self.GROUP]) + ("" if self.lead else glue) for i in range(0, len(plain), self.GROUP)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
-        if self.lead:
-            first = np.flatnonzero(self.begins[ids])
-            sizes = np.diff(np.concatenate([first, [len(ids)]]))
-        else:
-            ends = np.flatnonzero(ids == self.mark[0])
-            sizes = np.diff(np.concatenate([[-1], ends])) - 1
-            ids = ids[ids != self.mark[0]]
-        if len(sizes) != len(plain) or not self.lead and len(self.mark) != 1:
+    def _sizes(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of ids of n pieces whose first (lead) or last id is an edge, the only one."""
+        edge = np.flatnonzero(self.edges[ids])
+        sizes = np.diff(np.concatenate([edge, [len(ids)]])) if self.lead else np.diff(np.concatenate([[-1], edge]))
+        if len(sizes) != n:
             raise RuntimeError("pieces and ids do not line up")
-        if not alone:
-            return ids, sizes
-        parts, out, at, k = [], np.empty(len(pieces), np.int64), 0, 0
-        for i in range(len(pieces)):
-            if i in alone:
-                parts.append(np.array(alone[i], np.uint32))
+        return sizes
+
+    def _many(self, tokenizer, texts: list[str]) -> np.ndarray:
+        coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(c.ids, np.uint32) for c in coded)])
+
+    def _code(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces and how many each has.
+
+        Words of letters alone are one pre-token, so they go to the library's model in its own alphabet, many at a
+        time; other pieces go through the whole tokenizer, together where their ids tell where a piece begins.
+        """
+        words, joined, alone = [], [], []
+        for i, p in enumerate(pieces):
+            if p.isalpha() and (self.lead or p.isascii() or max(p) < "\u0100"):
+                words.append(i)
+            elif self.lead and p and " " not in p and "\u0120" not in p:
+                joined.append(i)
             else:
-                parts.append(ids[at : at + sizes[k]])
-                at, k = at + sizes[k], k + 1
-            out[i] = len(parts[-1])
-        return np.concatenate(parts), out
+                alone.append(i)
+        texts = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in (pieces[i] if self.lead else pieces[i].lower() for i in words)]
+        glue = "\x01\u0120" if self.lead else "\x01"
+        ids = [self._many(self.model, [glue[1:] + glue.join(texts[i : i + self.GROUP]) for i in range(0, len(texts), self.GROUP)])]
+        sizes = [self._sizes(ids[0], len(words))]
+        if joined:
+            ids.append(self._many(self.tokenizer, [" " + " ".join(pieces[i] for i in joined[a : a + self.GROUP]) for a in range(0, len(joined), self.GROUP)]))
+            sizes.append(self._sizes(ids[-1], len(joined)))
+        if alone:
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast([" " + pieces[i] if self.lead else pieces[i] for i in alone], add_special_tokens=False)]
+            ids.append(np.fromiter((i for x in coded for i in x), np.uint32))
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+        lengths, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+        if not joined and not alone:
+            return flat, lengths
+        order = np.argsort(np.array(words + joined + alone, np.int64))
+        return self._gather(flat, np.cumsum(lengths) - lengths, lengths, order), lengths[order]
+
+    @staticmethod
+    def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+        n = sizes[order]
+        ends = np.cumsum(n)
+        return ids[np.repeat(starts[order] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _split(self, piece: str) -> tuple[str, str]:
+        """A piece as another piece that it shares its ids with, and closing marks, which are one pre-token."""
+        found = _MARKED.fullmatch(piece)
+        base, mark = found.groups() if found else (piece, "")
+        if not self.lead and base.isascii() and base.isalpha():
+            base = base.lower()
+        return base, mark
+
+    def _learn(self) -> None:
+        """Codes the pieces in ``index.fresh``; those made of another piece and a mark come after the others."""
+        plain, made, known = [], [], set()
+        for piece in self.index.fresh:
+            base, mark = self._split(piece)
+            if mark or base != piece:
+                made.append((piece, base, mark))
+            else:
+                plain.append(piece)
+                known.add(piece)
+        for _, base, _ in made:
+            if base not in known and base not in self.index:
+                plain.append(base)
+                known.add(base)
+        start = len(self.met)
+        # numbers are given anew: plain pieces first
+        self.index.update(zip(plain, range(start, start + len(plain))))
+        if plain:
+            self._extend(*self._code(plain))
+        if made:
+            self.index.update(zip((m[0] for m in made), range(start + len(plain), start + len(plain) + len(made))))
+            marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in {m[2] for m in made} - {""}}
+            numbers = np.fromiter((self.index[base] for _, base, _ in made), np.int64, len(made))
+            sizes = self.starts[numbers + 1] - self.starts[numbers]
+            extra = np.fromiter((len(marks[m]) if m else 0 for *_, m in made), np.int64, len(made))
+            ends = np.cumsum(sizes + extra)
+            out = np.empty(int(ends[-1]), np.uint32)
+            body = np.repeat(ends - sizes - extra - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            out[body] = self._gather(self.ids, self.starts, self.starts[1:] - self.starts[:-1], numbers)
+            tail = np.concatenate([np.zeros(0, np.uint32), *(marks[m] for *_, m in made if m)])
+            out[np.repeat(ends - extra - (np.cumsum(extra) - extra), extra) + np.arange(int(extra.sum()))] = tail
+            self._extend(out, sizes + extra)
+        self.index.fresh = []
+
+    def _extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         if len(self.index) > self.limit:
             self._forget()
         at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
         if self.index.fresh:
-            ids, sizes = self._code(self.index.fresh)
-            self.ids = np.concatenate([self.ids, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
-            self.index.fresh = []
+            known = len(self.met)
+            fresh = self.index.fresh
+            self._learn()
+            if (new := at >= known).any():  # pieces were numbered as they came; look their numbers up again
+                again = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+                at[new] = again[at[new] - known]
         self.met += np.bincount(at, minlength=len(self.met))
         return at
 
@@ -127,7 +210,10 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            cut = text.split(" ") if not _SPACE_AFTER_SPACE.search(text) else _CUT.split(text)
+            if not self.lead:
+                cut = _folded(text).split(" ")
+            else:
+                cut = text.split(" ") if not _SPACE_AFTER_SPACE.search(text) else _CUT.split(text)
             if self.lead:  # the first piece has no space before it
                 if cut[0]:
                     firsts[i] = self.tokenizer.encode(cut[0], add_special_tokens=False).ids
@@ -149,9 +235,8 @@ class PieceEncoder:
         out = np.empty(int(out_end[-1]) if len(texts) else 0, np.uint32)
         out[out_end - 1] = end
         shift = np.repeat(out_end - lengths + head - before[ends - counts], counts)  # piece position -> output position
-        target = np.repeat(before[:-1] + shift - before[:-1], sizes) + np.arange(int(before[-1]))
-        source = np.repeat(begin - before[:-1], sizes) + np.arange(int(before[-1]))
-        out[target] = self.ids[source]
+        each = np.arange(int(before[-1]))
+        out[each + np.repeat(shift, sizes)] = self.ids[each + np.repeat(begin - before[:-1], sizes)]
         for i, ids in firsts.items():
             s = int(out_end[i] - lengths[i])
             out[s : s + len(ids)] = ids
