@@ -9,8 +9,8 @@ is trained by Adam on logistic loss. Rows with equal terms count once in the sam
 
 Labels, languages, sources and ids are never inputs of a score.
 
-Defined results: null and empty texts get the score of a text without terms; without labels of both kinds every score
-is 0; repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts get the score of a text without terms; without labels of both kinds, or without
+terms that tell them apart, every score is 0; repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _cut(raw: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
-    """The machine and the raw score at its cut, or None without labels of both kinds. Every fourth row of the sample sets the cut."""
+    """The machine and the raw score at its cut, or None if nothing can be learned. Every fourth row of the sample sets the cut."""
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", folds) != held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
     picked = [sample_rows(known.where(F.col("y") == y), SAMPLE, "doc_id") for y in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * SAMPLE rows at most
@@ -141,6 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
         check[:] = False
     kept, value = select_terms([r for r, c in zip(rows, check) if not c], y[~check])
 
+    if not len(kept):
+        return None
+
     def numbers(row: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.isin(kept, row, assume_unique=True))
 

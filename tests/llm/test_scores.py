@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -75,10 +76,10 @@ def test_main_texts(frame):
 
 
 def _labelled(n=400):
-    docs, labels = [], []
+    docs, labels, rng = [], [], random.Random(8)
     for i in range(n):
         bad, rude = i % 4 == 0, i % 5 == 0
-        words = ["".join("bcdfgaeiou"[(i * 31 + k * k * 7 + j * (i + k)) % 10] for j in range(4 + k % 3)) for k in range(40)]
+        words = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(3, 7))) for _ in range(40)]
         if rude:
             words[5] = "nastyword" + "abc"[i % 3]
         docs.append((i, " ".join(w.upper() + "!!" for w in words) if bad else " ".join(words).capitalize() + "."))
