@@ -1,11 +1,11 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact comparison.
 
 1. Documents with the same set of word shingles form a class; its smallest doc_id stands for it.
-2. A class gets ``BANDS`` band keys of ``ROWS`` minimum hashes each, and ``WORDS`` 64-bit words of one-bit MinHashes.
-   Two one-bit hashes agree with probability (1 + J) / 2 for Jaccard similarity J.
-3. Classes that share a band are candidates. Batch after batch (one word, two words, ...) the posterior of J given the
-   agreements so far, from a uniform prior, is known; a pair is dropped as soon as P(J >= threshold) falls below
-   ``miss``. The bounds are a table of the most disagreements that a batch may end with.
+2. A class gets ``BANDS`` band keys of ``ROWS`` minimum hashes each, and ``HASHES`` four-bit MinHashes, 64 to four words
+   of one bit of each. Two of them agree with probability J + (1 - J) / 16 for Jaccard similarity J.
+3. Classes that share a band are candidates. After each of ``BATCHES`` hashes the posterior of J given the agreements
+   so far, from a uniform prior, is known; a pair is dropped as soon as P(J >= threshold) falls below ``miss``. The
+   bounds are a table of the most disagreements that a batch may end with.
 4. Survivors are compared on their full shingle sets.
 5. Links become components. To spare the square of a group: first every member of a band is compared with the band's
    smallest member; then only members of a band that are still in different components are compared with each other.
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import components, mix64, stored
 
-SHINGLE, BANDS, ROWS, WORDS = 5, 32, 4, 4
-MISS = 1e-5
+SHINGLE, BANDS, ROWS, HASHES = 5, 32, 4, 384
+BATCHES = (64, 192, 384)
+MISS = 5e-4
+MARKS = 1 << 24
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -76,12 +78,12 @@ def shingle_set(text: str | None) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    n = max(BANDS * ROWS, 64 * WORDS)
+    n = max(BANDS * ROWS, HASHES)
     return (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed one-bit hashes of a non-empty set."""
+    """Band keys and packed four-bit hashes of a non-empty set."""
     a, b = _functions()
     x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
     low = np.full(len(a), np.uint32(0xFFFFFFFF))
@@ -90,8 +92,9 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + low[: BANDS * ROWS].reshape(BANDS, ROWS)[:, r])
-    bits = (mix64(low[: 64 * WORDS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(bits).view("<i8")
+    four = mix64(low[:HASHES].astype(np.uint64)) & np.uint64(15)
+    planes = (four.reshape(-1, 1, 64) >> np.arange(4, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
+    return keys.view(np.int64), np.packbits(planes, axis=2).reshape(-1, 8).copy().view("<i8").ravel()
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +121,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def most_disagreements(threshold: float, miss: float = MISS) -> list[int]:
-    """For 64, 128, ... one-bit hashes: the most disagreements at which P(J >= threshold | data) is at least ``miss``."""
+    """After each of BATCHES four-bit hashes: the most disagreements at which P(J >= threshold | data) is at least ``miss``."""
     grid = (np.arange(20000) + 0.5) / 20000
-    agree = np.log((1 + grid) / 2), np.log((1 - grid) / 2)
+    agree = np.log(grid + (1 - grid) / 16), np.log((1 - grid) * 15 / 16)
     bounds = []
-    for n in range(64, 64 * WORDS + 1, 64):
+    for n in BATCHES:
         d = 0
         while d < n:
             like = agree[0] * (n - d - 1) + agree[1] * (d + 1)
@@ -136,17 +139,41 @@ def most_disagreements(threshold: float, miss: float = MISS) -> list[int]:
 
 def _plausible(threshold: float):
     """The sequential test on the packed words of both sides, as one condition that stops at the first batch that fails."""
-    test, differ = F.lit(True), F.lit(0)
-    for k, most in enumerate(most_disagreements(threshold)):
-        differ = differ + F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k]))
+    test = F.lit(True)
+    for n, most in zip(BATCHES, most_disagreements(threshold)):
+        differ = F.lit(0)
+        for i in range(0, n // 16, 4):
+            planes = [F.get("x.bits", F.lit(i + k)).bitwiseXOR(F.get("y.bits", F.lit(i + k))) for k in range(4)]
+            differ = differ + F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2].bitwiseOR(planes[3])))
         test = test & (differ <= most)
     return test
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+def _set_rows(marks: bytes):
+    """Sets of the documents whose mark is there: all that are wanted, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.frombuffer(marks, np.uint64)
+        for batch in batches:
+            at = batch.column("mark").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((there[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+
+    return run
+
+
+def _mark(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MARKS)).alias("mark")
+
+
+def _marks(wanted: DataFrame) -> bytes:
+    """A bitmap of MARKS bits (2 MB, whatever the input) that has the mark of every wanted id: texts of other documents
+    need not be moved. The more ids there are, the fewer texts it spares; the exact join follows."""
+    rows = wanted.select(_mark("doc_id")).groupBy((F.expr("mark div 64")).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(mark % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.tobytes()
 
 
 def _compare(percent: int):
@@ -165,11 +192,12 @@ def _compare(percent: int):
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough. Only documents in some pair have their sets made again."""
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "wanted")
+    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _mark("doc_id")).mapInArrow(_set_rows(_marks(wanted)), "doc_id long, shingles binary")
+    sets = stored(made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -193,15 +221,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     stars = buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), (F.col("b") == F.col("y.id")) & plausible).select("a", "b")
-    links = stored(_confirm(stars, docs, percent), "links")
+    links = _confirm(stars, docs, percent)
     groups = components(links)
     named = buckets.join(groups, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "key")
-    rest = stored(named.join(mixed, ["band", "key"]).join(sketch, "id").select("band", "key", "id", "component", "n", "bits"), "mixed")
+    rest = stored(named.join(mixed, ["band", "key"]).join(sets.select("id", "n", "bits", "bands"), "id").select("band", "key", "id", "component", "n", "bits", "bands"), "mixed")
+    met = F.lit(False)  # a pair is taken in the first band that it shares
+    for k in range(BANDS - 1):
+        met = met | ((F.col("x.band") > k) & (F.get("x.bands", F.lit(k)) == F.get("y.bands", F.lit(k))))
     crossing = (
         rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-                             & (F.col("x.component") != F.col("y.component")) & plausible)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+                             & (F.col("x.component") != F.col("y.component")) & plausible & ~met)
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .join(stars.select("a", "b"), ["a", "b"], "left_anti")
     )
     links = links.unionByName(_confirm(crossing, docs, percent))
