@@ -157,8 +157,8 @@ def _set_rows(marks: bytes):
         for batch in batches:
             at = batch.column("mark").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((there[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return run
 
@@ -176,28 +176,16 @@ def _marks(wanted: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _compare(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough. Only documents in some pair have their sets made again."""
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "wanted")
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _mark("doc_id")).mapInArrow(_set_rows(_marks(wanted)), "doc_id long, shingles binary")
+    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _mark("doc_id")).mapInArrow(_set_rows(_marks(wanted)), "doc_id long, shingles array<long>")
     sets = stored(made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), "links")
+    both = F.size(F.array_intersect("x", "y"))
+    return stored(pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -57,7 +57,7 @@ class PieceEncoder:
 
     GROUP = 128
 
-    def __init__(self, path: str, lead: bool, limit: int = 600_000):
+    def __init__(self, path: str, lead: bool, limit: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 

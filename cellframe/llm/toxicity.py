@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
 class _Finder:
     """Numbers of the kept terms in a text; words met before are looked up."""
 
-    def __init__(self, kept: np.ndarray, limit: int = 200_000):
+    def __init__(self, kept: np.ndarray, limit: int = 100_000):
         self.number, self.limit, self.seen = {h: i for i, h in enumerate(kept.tolist())}, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
