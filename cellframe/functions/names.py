@@ -60,16 +60,17 @@ def natural_key(name) -> Column:
     """Sort key under which digit runs order as numbers and text ignores case.
 
     Text and digit runs alternate, starting with (possibly empty) text. A digit
-    run becomes its length, then its digits, so any length compares right.
+    run becomes its length, then its digits, so any length compares right: four
+    digits give the length, and from 9999 on ten more follow them.
     """
     s = _col(name)
     runs = F.regexp_extract_all(s, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
 
     def token(t):
         bare = F.regexp_replace(t, r"^0+([0-9])", "$1")
-        return F.when(t.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)).otherwise(
-            F.lower(t)
-        )
+        n = F.length(bare).cast("string")
+        size = F.when(F.length(bare) < 9999, F.lpad(n, 4, "0")).otherwise(F.concat(F.lit("9999"), F.lpad(n, 10, "0")))
+        return F.when(t.rlike("^[0-9]"), F.concat(size, bare)).otherwise(F.lower(t))
 
     keyed = F.transform(runs, token)
     return F.when(s.rlike("^[0-9]"), F.concat(F.array(F.lit("")), keyed)).otherwise(keyed)
@@ -117,8 +118,7 @@ def parse_vocab_header(line) -> Column:
     """
     raw = _col(line)
     is_header = raw.rlike(r"^#categories($|[^\p{L}\p{N}])")
-    rest = F.regexp_replace(F.substring(raw, 12, 1 << 20), r"^:+", "")
-    rest = stripped(rest)
+    rest = stripped(F.regexp_replace(raw, r"^#categories:*", ""))
     parts = (
         F.when(F.contains(rest, F.lit("\t")), F.split(rest, "\t"))
         .when(F.contains(rest, F.lit(",")), F.split(rest, ","))

@@ -91,9 +91,10 @@ def blocked_rank(df: DataFrame, group: list[str], key: str, out: str, block: int
 def _value_bin(v: Column) -> Column:
     """Monotone integer bin of a double: 256 bins per factor of two, mirrored for negatives.
 
-    A bin holds at most 2**15 distinct float32 values, and far fewer camera counts.
+    A bin holds at most 2**15 distinct float32 values, and far fewer camera counts. Infinities lie in bins of their own
+    beyond all numbers.
     """
-    size = F.floor(F.log2(F.abs(v)) * 256) + 300000
+    size = F.when(F.abs(v) == F.lit(float("inf")), F.lit(600000)).otherwise(F.floor(F.log2(F.abs(v)) * 256) + 300000)
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
@@ -138,5 +139,6 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dic
         low = F.max(F.when(holds(F.floor(spot(p)), F.col("_start"), F.col("_c")), F.col("_v")))
         high = F.max(F.when(holds(F.ceil(spot(p)), F.col("_start"), F.col("_c")), F.col("_v")))
         frac = F.max(spot(p) - F.floor(spot(p)))
-        aggs.append((low + (high - low) * frac).alias(name))
+        # no arithmetic on one value alone: it may be infinite
+        aggs.append(F.when((low == high) | (frac == 0), low).otherwise(low + (high - low) * frac).alias(name))
     return pairs.groupBy(*group).agg(*aggs)

@@ -16,11 +16,15 @@ KEY = ["project", "fov_id", "cell_id"]
 
 @query(
     "tags_text_roundtrip",
-    """SELECT project, fov_id, cell_id, category, round(confidence, 4) AS confidence FROM fx_tags""",
+    """SELECT project, fov_id, cell_id, category, round(confidence, 4) AS confidence FROM fx_tags
+       WHERE fov_id <> 'src3'""",
 )
 def _(v: Views):
+    # All tags are written; then those of one field are cleared and it is written again.
     path = scratch_dir(v.spark, "tags")
     tags_text.write_tags(v.tags, path)
+    cleared = v.tags.where("fov_id = 'src3'")
+    tags_text.write_tags(cleared.where("false"), path, touched=cleared)
     return tags_text.read_tags(v.spark, path).withColumn("confidence", F.round("confidence", 4))
 
 
@@ -91,15 +95,18 @@ def _(v: Views):
 @query(
     "tile_store_roundtrip",
     """SELECT project, fov_id, cell_id, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM fx_vecs
-       WHERE vec_id % 20 <> 3 OR vec_id % 40 = 3""",
+       WHERE (vec_id % 20 <> 3 OR vec_id % 40 = 3) AND fov_id <> 'src4'""",
 )
 def _(v: Views):
+    # All rows are written; one field is thinned out, another one emptied.
     path = scratch_dir(v.spark, "tiles")
     rows = v.vecs.select(*KEY, "vec_id", "embedding")
     tile_store.write_partitions(rows, path, ["vec_id"])
     again = v.spark.read.schema(rows.schema).parquet(path).where("fov_id = 'src3' and vec_id % 40 = 3")
     tile_store.replace_partitions(again, path, ["vec_id"])
-    back = tile_store.read_tiles(v.spark, path, rows.schema)
+    emptied = v.spark.read.schema(rows.schema).parquet(path).where("fov_id = 'src4'")
+    tile_store.replace_partitions(emptied.where("false"), path, ["vec_id"], touched=emptied.select("project", "fov_id"))
+    back = tile_store.read_tiles(v.spark, path, rows.schema, key="vec_id")
     return back.select(*KEY, "vec_id", r6(F.get("embedding", F.lit(0))).alias("first"))
 
 
@@ -152,12 +159,15 @@ def _(v: Views):
 
 @query(
     "file_manifest",
-    "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', "
-    "'benchmark', 'labels', 'conversations']) || '.parquet' AS name, true AS filled",
+    "SELECT source AS field, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
 )
 def _(v: Views):
-    files = manifest.file_manifest(v.spark, v.sf_dir, "*.parquet")
-    return files.select("name", (F.col("size") > 0).alias("filled"))
+    # The texts of each source are written as lines; the listing must show every byte of them.
+    path = scratch_dir(v.spark, "listed")
+    v.table("documents").select(F.col("text").alias("value"), "source").write.partitionBy("source").text(path)
+    files = manifest.file_manifest(v.spark, path, "*.txt")
+    field = F.regexp_extract("path", r"/source=([^/]+)/[^/]+$", 1)
+    return files.groupBy(field.alias("field")).agg(F.sum("size").alias("bytes"))
 
 
 # --- incremental forms: a stream over the same rows ends where the batch job does -----
@@ -171,24 +181,30 @@ def _(v: Views):
     return settle_tag_state(v.spark.read.parquet(table)).withColumn("confidence", r6("confidence"))
 
 
-@query("tally_stream", REGISTRY["fov_tally"].sql)
+@query("tally_stream", REGISTRY["fov_tally"].sql.replace("JOIN fx_tags g", "JOIN (SELECT * FROM fx_tags WHERE fov_id <> 'src3') g"))
 def _(v: Views):
     tiles_at, tags_at, out, checkpoint = (scratch_dir(v.spark, n) for n in ("tiles", "tags", "tallies", "offsets"))
     tiles = v.tiles.select(*KEY)
     tile_store.write_partitions(tiles, tiles_at, ["cell_id"])
     tile_store.write_partitions(v.tags, tags_at, ["cell_id"])
-    jobs.start_tally_refresh(v.spark, tags_at, tiles_at, out, checkpoint, TAGS, tiles.schema).awaitTermination()
-    return v.spark.read.schema("n_tiles long, n_tagged long, n_human long, untagged long, project string, fov_id string").parquet(out).select(
-        "project", "fov_id", "n_tiles", "n_tagged", "n_human", "untagged"
-    )
+    # All fields are counted; then the tags of one are cleared, and it is counted again.
+    for cleared in (None, v.tags.where("fov_id = 'src3'")):
+        if cleared is not None:
+            tile_store.write_partitions(cleared.where("false"), tags_at, ["cell_id"], touched=cleared.select("project", "fov_id"))
+        jobs.start_tally_refresh(v.spark, tags_at, tiles_at, out, checkpoint, TAGS, tiles.schema).awaitTermination()
+    schema = "n_tiles long, n_tagged long, n_human long, untagged long, project string, fov_id string"
+    return tile_store.read_partitions(v.spark, out, schema, "n_tiles").select("project", "fov_id", "n_tiles", "n_tagged", "n_human", "untagged")
 
 
 @query("index_stream", "SELECT cell_id, CAST(label % 20 AS VARCHAR) AS fov_id, label, concat('t/', cell_id) AS crop_path FROM fx_tiles")
 def _(v: Views):
     feed, index, checkpoint = (scratch_dir(v.spark, n) for n in ("feed", "index", "offsets"))
-    v.tiles.select(
+    rows = v.tiles.select(
         "cell_id", (F.col("label") % 20).cast("string").alias("fov_id"), "label", F.concat(F.lit("t/"), "cell_id").alias("crop_path")
-    ).write.parquet(feed)
-    stream = v.spark.readStream.schema(TILE_INDEX).parquet(feed)
-    jobs.start_index_growth(stream, index, checkpoint).awaitTermination()
-    return v.spark.read.schema(TILE_INDEX).parquet(index).select(*TILE_INDEX.names)
+    ).withColumn("export", F.lit(2).cast("long"))
+    # Rows of an older export come between those of the newer one; every file is a batch, so each field is split.
+    older = rows.where("label % 3 = 0").withColumn("cell_id", F.concat("cell_id", F.lit("_old"))).withColumn("export", F.lit(1).cast("long"))
+    rows.unionByName(older).repartition(3, "cell_id").write.parquet(feed)
+    stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    jobs.start_index_growth(stream, index, checkpoint, export="export").awaitTermination()
+    return tile_store.read_partitions(v.spark, index, TILE_INDEX, "cell_id").select(*TILE_INDEX.names)

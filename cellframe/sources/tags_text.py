@@ -76,13 +76,21 @@ def tag_lines(tags: DataFrame) -> DataFrame:
     )
 
 
-def write_tags(tags: DataFrame, path: str) -> None:
+def write_tags(tags: DataFrame, path: str, touched: DataFrame | None = None) -> None:
     """One folder per field of view, lines sorted by key.
 
+    Fields of view in ``touched`` (project, fov_id) are written even if no tag
+    is left: their file holds a bare ``#`` line then, and its old tags are gone.
+
     Rows are range-partitioned by the full key, so a field of view with very
     many tags becomes several files that follow each other in order.
     """
-    lines = tag_lines(tags).repartitionByRange(*TAG_KEY).sortWithinPartitions(*TAG_KEY)
+    lines = tag_lines(tags)
+    if touched is not None:
+        fov = ["project", "fov_id"]
+        emptied = touched.select(*fov).distinct().join(tags.select(*fov).distinct(), fov, "left_anti")
+        lines = lines.unionByName(emptied.withColumn("value", F.lit("#")), allowMissingColumns=True)
+    lines = lines.repartitionByRange(*TAG_KEY).sortWithinPartitions(*TAG_KEY)
     lines.select("project", "fov_id", "value").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("project", "fov_id").text(path)

@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import strip_legacy_suffix
 from ..schemas import TILE_INDEX
 from ..session import scratch_dir
 
 
-def write_partitions(df: DataFrame, path: str, order: list[str], by: tuple[str, ...] = ("project", "fov_id")) -> None:
-    """Overwrite exactly the partitions ``df`` has rows for.
+def _with_emptied(df: DataFrame, by: tuple[str, ...], touched: DataFrame | None) -> DataFrame:
+    """``df`` and one row for each touched partition that it has no rows for, filled in the columns of ``touched`` only."""
+    if touched is None:
+        return df
+    empty = touched.dropDuplicates(list(by)).join(df.select(*by).distinct(), list(by), "left_anti")
+    return df.unionByName(empty, allowMissingColumns=True)
+
+
+def write_partitions(
+    df: DataFrame, path: str, order: list[str], by: tuple[str, ...] = ("project", "fov_id"), touched: DataFrame | None = None
+) -> None:
+    """Overwrite exactly the partitions ``df`` has rows for, and those that ``touched`` names.
+
+    A touched partition that is left without rows keeps one row without a key:
+    what it held goes in the same write, and a stream over the folder gets to
+    see it. ``read_partitions`` leaves such rows out.
 
     Range partitioning by the full order spreads a very large field of view
     over several files, each sorted.
     """
     keys = [*by, *order]
     (
-        df.repartitionByRange(*keys)
+        _with_emptied(df, by, touched)
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -26,23 +42,31 @@ def write_partitions(df: DataFrame, path: str, order: list[str], by: tuple[str,
     )
 
 
-def replace_partitions(df: DataFrame, path: str, order: list[str], by: tuple[str, ...] = ("project", "fov_id")) -> None:
+def replace_partitions(
+    df: DataFrame, path: str, order: list[str], by: tuple[str, ...] = ("project", "fov_id"), touched: DataFrame | None = None
+) -> None:
     """The same for a frame that reads ``path`` itself: it is written aside in the shared
     scratch folder first, so nothing is read and replaced at once and a lost executor costs
     no more than its task."""
     spark = df.sparkSession
     aside = scratch_dir(spark, "staged")
-    df.write.parquet(aside)
+    _with_emptied(df, by, touched).write.parquet(aside)
     write_partitions(spark.read.schema(df.schema).parquet(aside), path, order, by)
 
 
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    write_partitions(tiles, path, ["label"])
+def read_partitions(spark: SparkSession, path: str, schema, key: str) -> DataFrame:
+    """What ``write_partitions`` keeps. ``key`` is a column that every row of the table fills."""
+    return spark.read.schema(schema).parquet(path).where(F.col(key).isNotNull())
+
+
+def write_tiles(tiles: DataFrame, path: str, touched: DataFrame | None = None) -> None:
+    """``touched``: the fields of view (project, fov_id) that were exported again, also those without a cell."""
+    write_partitions(tiles, path, ["label"], touched=touched)
 
 
-def read_tiles(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_tiles(spark: SparkSession, path: str, schema, key: str = "label") -> DataFrame:
     """Columnar, so queries that need no pixels never read them."""
-    return spark.read.schema(schema).parquet(path)
+    return read_partitions(spark, path, schema, key)
 
 
 def read_tile_index(spark: SparkSession, path: str) -> DataFrame:

@@ -125,3 +125,10 @@ def test_index_upsert_replaces_whole_fields(spark):
     assert sorted((r.fov_id, r.label) for r in two.collect()) == [("fov1", 1), ("fov1", 2), ("fov2", 1)]
     gone = ranking.upsert_tile_index(two, rows("fov1", []), spark.createDataFrame([("fov1",)], "fov_id string"))
     assert [r.fov_id for r in gone.collect()] == ["fov2"]
+
+
+def test_percentiles_with_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", inf), ("b", inf)], "g string, v double")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in skew.exact_percentiles(df, ["g"], "v", {"lo": 0, "mid": 50, "hi": 100}).collect()}
+    assert got == {"a": (-inf, 2.0, inf), "b": (inf, inf, inf)}

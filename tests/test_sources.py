@@ -187,3 +187,45 @@ def test_index_grows_by_field(spark, tmp_path):
     assert arrive("001", [1, 2, 3]) == [("001", 1), ("001", 2), ("001", 3)]
     assert arrive("002", [1]) == [("001", 1), ("001", 2), ("001", 3), ("002", 1)]
     assert arrive("001", [1, 2]) == [("001", 1), ("001", 2), ("002", 1)]
+
+
+def test_index_keeps_fields_split_over_batches(spark, tmp_path):
+    feed, index, ckpt = (str(tmp_path / d) for d in ("feed", "index", "ckpt"))
+    schema = "cell_id string, fov_id string, label long, crop_path string, export long"
+
+    def arrive(*files):
+        for rows in files:
+            made = [(None if n is None else f"{fov}_{n}", fov, n, "x", export) for fov, n, export in rows]
+            spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        jobs.start_index_growth(stream, index, ckpt, export="export").awaitTermination()
+        return sorted((r.fov_id, r.label) for r in tile_store.read_partitions(spark, index, schema, "cell_id").collect())
+
+    assert arrive([("a", 1, 1)], [("a", 2, 1), ("b", 1, None)], [("a", 3, 1)]) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+    assert arrive([("a", 1, 2)], [("a", 9, 1)]) == [("a", 1), ("b", 1)]
+    # An export without cells empties the field, and late rows of the older one do not fill it again.
+    assert arrive([("a", None, 3)], [("a", 1, 2)]) == [("b", 1)]
+
+
+def test_emptied_fields_lose_their_rows(spark, tmp_path):
+    text, tiles_path, tags_path, out, ckpt = (str(tmp_path / d) for d in ("text", "tiles", "tags", "out", "ckpt"))
+    tags = spark.createDataFrame([("p", "a", "a_0", "x", None), ("p", "b", "b_0", "x", 0.5)], TAGS)
+    both, none = tags.select("project", "fov_id"), tags.where("false")
+    tags_text.write_tags(tags, text)
+    tags_text.write_tags(tags.where("fov_id = 'b'"), text, touched=both)
+    assert [r.cell_id for r in tags_text.read_tags(spark, text).collect()] == ["b_0"]
+    tags_text.write_tags(none, text, touched=both)
+    assert tags_text.read_tags(spark, text).count() == 0
+
+    tiles = tags.select("project", "fov_id", "cell_id")
+    tile_store.write_partitions(tiles, tiles_path, ["cell_id"])
+    tile_store.write_partitions(tags, tags_path, ["cell_id"])
+
+    def tallies():
+        jobs.start_tally_refresh(spark, tags_path, tiles_path, out, ckpt, TAGS, tiles.schema).awaitTermination()
+        return {r.fov_id: (r.n_tiles, r.n_tagged) for r in spark.read.parquet(out).where("n_tiles is not null").collect()}
+
+    assert tallies() == {"a": (1, 1), "b": (1, 1)}
+    tile_store.replace_partitions(none, tags_path, ["cell_id"], touched=both.where("fov_id = 'a'"))
+    assert tallies() == {"a": (1, 0), "b": (1, 1)}
+    assert [r.cell_id for r in tile_store.read_partitions(spark, tags_path, TAGS, "cell_id").collect()] == ["b_0"]

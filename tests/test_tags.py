@@ -192,3 +192,11 @@ def test_complete_mode_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.tile: (r.category, r.confidence) for r in spark.table("tag_states_out").collect()}
     assert got == {1: ("y", None), 2: ("z", 0.7)}
+
+
+def test_very_long_names(spark):
+    line = "#categories\t" + "a" * (1 << 20) + "\tlast"
+    assert [len(n) for n in spark.createDataFrame([(line,)], "l string").select(nm.parse_vocab_header("l")).first()[0]] == [1 << 20, 4]
+    names = ["f" + "1" * n for n in (9998, 9999, 10000, 10001, 5000)]
+    got = [len(r.s) - 1 for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(nm.natural_key("s")).collect()]
+    assert got == [5000, 9998, 9999, 10000, 10001]
