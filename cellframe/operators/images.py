@@ -282,16 +282,16 @@ def dark_frame_statistics(planes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg("v").alias("offset"), F.var_samp("v").alias("read_variance"))
 
 
-def channel_range(planes: DataFrame, keys: list[str], max_samples: int = 2000) -> DataFrame:
-    """Min and max of a strided pixel sample of every tile, per channel.
+def channel_range(planes: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
+    """Min and max over all pixels of every tile, per channel; with ``step``, over every step-th row and column.
 
-    The stride is the floored root of how far a tile exceeds ``max_samples``.
+    Each plane gives its own two numbers first, so pixels never become rows.
     """
-    total = F.col("height") * F.col("width")
-    step = F.when(total > max_samples, F.greatest(F.lit(1), F.floor(F.sqrt(total / max_samples)).cast(INT))).otherwise(1)
-    rows = explode_pixels(planes, keys)
-    kept = rows.where((F.col("y") % step == 0) & (F.col("x") % step == 0))
-    return kept.groupBy(*keys).agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    seen = F.col("values")
+    if step > 1:
+        on_grid = lambda _v, i: (F.floor(i / F.col("width")) % step == 0) & (i % F.col("width") % step == 0)
+        seen = F.filter("values", on_grid)
+    return planes.groupBy(*keys).agg(F.min(F.array_min(seen)).alias("vmin"), F.max(F.array_max(seen)).alias("vmax"))
 
 
 def merge_denoised_channels(source: DataFrame, existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -270,10 +270,10 @@ def _(v: Views):
 
 @query(
     "channel_range",
-    """SELECT class, round(min(value), 6) + 0.0 AS vmin, round(max(value), 6) + 0.0 AS vmax FROM fx_pixels WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY 1""",
+    """SELECT class, round(min(value), 6) + 0.0 AS vmin, round(max(value), 6) + 0.0 AS vmax FROM fx_pixels GROUP BY 1""",
 )
 def _(v: Views):
-    out = images.channel_range(v.planes, ["class"], max_samples=10)
+    out = images.channel_range(v.planes, ["class"])
     return out.select("class", r6("vmin").alias("vmin"), r6("vmax").alias("vmax"))
 
 
