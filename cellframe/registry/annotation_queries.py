@@ -182,16 +182,19 @@ def _(v: Views):
 @query(
     "route_to_owner",
     """SELECT page_id, CASE
+         WHEN url IS NULL OR NOT starts_with(url, 'https://') THEN NULL
          WHEN split_part(url, '/', 4) IN ('fr', 'de') AND split_part(url, '/', 5) <> '' THEN concat_ws('/', 'https:', '', split_part(url, '/', 3), split_part(url, '/', 4))
          WHEN split_part(url, '/', 3) LIKE '%.com' THEN concat('https://', split_part(url, '/', 3)) END AS owner
-       FROM pages WHERE starts_with(url, 'https://')""",
+       FROM pages""",
 )
 def _(v: Views):
-    pages = v.table("pages").where(F.startswith("url", F.lit("https://"))).select("page_id", F.col("url").alias("path"))
+    # Owners are folders of https sites; every page is routed.
+    pages = v.table("pages").select("page_id", F.col("url").alias("path"))
+    secure = pages.where(F.startswith("path", F.lit("https://")))
     parts = F.split("path", "/")
     host = F.concat(F.lit("https://"), F.get(parts, F.lit(2)))
-    sites = pages.where(F.get(parts, F.lit(2)).endswith(".com")).select(host.alias("folder"))
-    deep = pages.where(F.get(parts, F.lit(3)).isin("fr", "de")).select(
+    sites = secure.where(F.get(parts, F.lit(2)).endswith(".com")).select(host.alias("folder"))
+    deep = secure.where(F.get(parts, F.lit(3)).isin("fr", "de")).select(
         F.concat(host, F.lit("/"), F.get(parts, F.lit(3))).alias("folder")
     )
     return pool.route_to_owner(pages, sites.union(deep)).select("page_id", "owner")
