@@ -144,3 +144,17 @@ def test_pipeline_stages(spark, frame, tmp_path, empty):
     if not empty:
         assert not set(range(63, 103)) & set(left) and 60 not in left and 61 not in left and set(range(60)) <= set(left)
         assert "[SECRET]" in left[62].text and left[62].n_chars == len(left[62].text)
+
+
+def test_stages_decide_by_row(frame, spark, tmp_path):
+    rng = random.Random(9)
+    bench, *texts = [" ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(40)) for _ in range(8)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4] + " " + bench), (6, texts[5]), (6, bench), (None, texts[6] + " more"), (9, texts[6])]
+    frame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = frame(docs, "doc_id long, text string")
+    order = lambda rows: sorted(rows, key=str)
+    once = corpus_pipeline.near_dedup(spark, d, str(tmp_path))
+    assert once.columns == d.columns
+    assert order((r.doc_id, r.text) for r in once.collect()) == order({*docs} - {docs[8]})
+    clean = corpus_pipeline.decontamination(spark, d, str(tmp_path))
+    assert order((r.doc_id, r.text) for r in clean.collect()) == order(x for x in docs if bench not in x[1])
