@@ -146,6 +146,38 @@ def test_pipeline_stages(spark, frame, tmp_path, empty):
         assert "[SECRET]" in left[62].text and left[62].n_chars == len(left[62].text)
 
 
+def test_leaks_by_brute_force(frame):
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(400)]
+    items = [[plain.pop() for _ in range(n)] for n in (26, 26, 26, 20, 22, 12, 7, 6, 5, 3, 1)]
+    texts = []
+    for item in items:
+        for size in sorted({*range(9, 19), len(item) // 2, len(item)}):
+            for pad in range(3):  # every alignment
+                start = rng.randint(0, max(0, len(item) - size))
+                texts.append(plain[:20 + pad] + item[start : start + size] + plain[40:70])
+    both = [(d, i) for d in range(len(texts)) for i in range(len(items))]
+
+    def covered(doc, item):
+        w = min(6, len(item))
+        runs = [{*range(a, a + w)} for a in range(len(item) - w + 1) for b in range(len(doc) - w + 1) if doc[b : b + w] == item[a : a + w]]
+        return len(set().union(*runs))  # runs of one item lie at one shift here
+
+    want = {(d, i): n for d, i in both if (n := covered(texts[d], items[i])) and (2 * n >= len(items[i]) or n >= 13)}
+    rows = leaks(frame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"), frame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.covered for r in rows} == want
+    assert all(not r.renamed and r.share == r.covered / len(items[r.item_id]) for r in rows)
+
+
+def test_leaks_in_another_case_or_wrapping(frame):
+    item = "yesterday Anna told Bob McDonald that Carla and Dario left for Vienna with Emil while Franz stayed with Greta near Lille"
+    texts = [item, item.lower(), item.upper(), item.replace(" ", "\n"), item.replace(" ", "  "), item.replace("Anna", "Rosa").replace("Vienna", "Madrid").replace(" ", "\n"), item.replace("Anna", "Emil"), "so who is OLD here ?", "so what is 5 ?"]
+    rows = leaks(frame(list(enumerate(texts)), "doc_id long, text string"), frame([(1, item), (2, "Who is old here?"), (3, "what is 4")], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in rows}
+    assert {(d, 1) for d in range(6)} <= set(got) and (7, 2) in got and not {d for d, i in got if i == 3}
+    assert all(got[d, 1].share == 1 for d in range(6)) and [d for d, i in got if i == 1 and got[d, i].renamed] == [5]
+
+
 def test_stages_decide_by_row(frame, spark, tmp_path):
     rng = random.Random(9)
     bench, *texts = [" ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(40)) for _ in range(8)]
