@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 
@@ -52,7 +53,8 @@ class PieceEncoder:
     Both supported kinds of tokenizer cut at a space that follows a character other than white space, and no merge
     crosses such a cut, so a piece always has the same ids: ``lead`` kinds keep the space with what follows it, the
     others drop it. Pieces repeat, so most are found in the cache; when it holds ``limit`` pieces, those met only
-    once are forgotten, which changes memory and time but no ids.
+    once are forgotten, which changes memory and time but no ids. A text that may hold an added token of the vocabulary,
+    such as ``<|endoftext|>``, goes through the library whole.
     """
 
     GROUP = 128
@@ -62,7 +64,6 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = Tokenizer(self.tokenizer.model)
@@ -70,6 +71,10 @@ class PieceEncoder:
         self.lead, self.limit = lead, limit
         self.index = _Index()
         self.ids, self.starts, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)  # in any case: the library decides
+        prefix = commonprefix(added)
+        self.prefix = prefix[: next((i for i, c in enumerate(prefix) if c.isalpha()), len(prefix))]  # quick to look for
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin or end a piece
         self.edges[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if lead else token.endswith("</w>"))]] = True
@@ -210,6 +215,9 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if self.prefix in text and self.added.search(text):
+                firsts[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
+                continue
             if not self.lead:
                 cut = _folded(text).split(" ")
             else:

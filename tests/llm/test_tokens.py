@@ -24,6 +24,20 @@ def test_pieces_give_the_ids_of_the_whole(name, lead):
             assert own.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [7], repr(text)
 
 
+@pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_are_matched(name, lead):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    plain.no_padding()
+    plain.no_truncation()
+    texts = ["x<|endoftext|> y", "<|endoftext|>", "a <|ENDOFTEXT|>b", "a  <|endoftext|>  b\n<|startoftext|>é", "a <|end of text|>", *TEXTS]
+    ids, sizes = PieceEncoder(vocabulary_path(name), lead).encode(texts, 7)
+    for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == plain.encode(text or "", add_special_tokens=False).ids + [7], repr(text)
+    assert ids[: sizes[0]].tolist() == ([87, 50256, 331, 7] if lead else [343, 49407, 344, 7])
+
+
 def test_files_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 255, 256, 257, 5000):
