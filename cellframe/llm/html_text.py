@@ -110,7 +110,7 @@ def parse(page: str) -> list[Node]:
             if tag in stop:
                 return
 
-    at, low = 0, page.lower()
+    at = 0
     while True:
         m = _MARK.search(page, at)
         if not m:
@@ -142,7 +142,7 @@ def parse(page: str) -> list[Node]:
             head = False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(low, at) if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea") else None
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea") else None
             if end:
                 at = end.end()
             elif not attributes.rstrip().endswith("/"):
