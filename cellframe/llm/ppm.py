@@ -6,11 +6,13 @@ times has (c - 1/2) / T, and the escape D / 2T goes to the next shorter context,
 mass in the shorter context is divided out. Below the empty context all 256 bytes are alike. Because exclusion depends
 on the context alone, each entry and each escape is one stored number, and a text is scored by looking up whole arrays.
 
-The trie that is sent to tasks is bounded: all (context, byte) pairs are counted, and those with at least the smallest
-count that leaves ``ENTRIES`` of them are kept. What is not kept is reached by escape, so every text has a probability.
+The whole trie is kept, as a table dealt out by the last two bytes of the context, so that a context of two bytes or more
+lies in one range with all that follows it and with its longer forms. Contexts of fewer bytes have 65,792 entries at most
+and go to every range. The distinct keys of a run of documents go to their ranges and return with their log probability.
 
 Both counts are distributed: tasks count 64-bit keys in arrays, and arrays are dealt out by hash range and merged there,
-so that a shuffle moves blocks of numbers, not rows of words. Word counts return to the runs of documents they came from.
+so that a shuffle moves blocks of numbers, not rows of words. Counts of words and log
+probabilities of bytes return to the runs of documents they came from.
 
 Defined results: a null or empty text has one token, the end; without training rows N = V = 0 and every token has
 log10 1; repeated rows are learned and scored as often as they occur; an empty table gives no rows; other columns are
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, id_array, ids_of, in_fold, mix64, runs, stored
 
-ORDER, ENTRIES = 5, 2_000_000
+ORDER = 5
 _END = np.uint64(0x5EED0F7E17)  # stands for the end token among word hashes
 _TAG = np.uint64(56)
 
@@ -88,33 +90,45 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def _pack(a: np.ndarray, rising: bool = False) -> bytes:
+    """Compressed numbers, byte planes apart; of rising ones the steps."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if rising else a
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd").compress(raw, asbytes=True) if raw else b"")
+
+
+def _unpack(blob: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    size, item = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.unique(keys, return_counts=True)
     return k, c.astype(np.int64)
 
 
 def _gram_range(keys: np.ndarray, n: int) -> np.ndarray:
-    """By the last three bytes, so that all extensions of a context of two bytes lie together."""
-    return (mix64(keys & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int64)
+    """By the last two bytes of the context: all bytes that follow it, and all longer contexts, lie together."""
+    return (mix64(keys >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(n)).astype(np.int64)
 
 
-RUN = "kind int, run long, range int, keys binary, counts binary"
+RUN = "kind int, run long, range int, keys binary, counts binary, texts binary"
+NAMES = ["kind", "run", "range", "keys", "counts", "texts"]
 
 
 def _gather(ranges: int, mod: int, held: int, run_size: int):
-    """Per run: its words with their training counts by range (kind 0) and its documents' tokens as numbers into that
-    list (kind 1); per task: keys of bytes in context with training counts by range (kind 2)."""
-
-    def row(kind: int, run: int, rng: int, keys: bytes, counts: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([run], pa.int64()), pa.array([rng], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], names=["kind", "run", "range", "keys", "counts"])
+    """Per run: its words with their training counts by range (kind 0), its documents' texts (kind 1), and its distinct keys of bytes in context by range (kind 3); per task: such keys with
+    training counts by range (kind 2)."""
 
-    def by_range(kind: int, run: int, keys: np.ndarray, counts: np.ndarray, rng: np.ndarray) -> pa.RecordBatch:
+    def by_range(kind: int, run: int, keys: np.ndarray, counts: np.ndarray, rng: np.ndarray, pack=lambda a: _pack(a, True)) -> pa.RecordBatch:
         cut = np.searchsorted(rng, np.arange(ranges + 1))
         n = np.flatnonzero(np.diff(cut))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), run, np.int64)), pa.array(n.astype(np.int32)),
-             pa.array([keys[cut[i] : cut[i + 1]].tobytes() for i in n], pa.binary()), pa.array([counts[cut[i] : cut[i + 1]].tobytes() for i in n], pa.binary())],
-            names=["kind", "run", "range", "keys", "counts"])
+             pa.array([pack(keys[cut[i] : cut[i + 1]]) for i in n], pa.binary()), pa.array([counts[cut[i] : cut[i + 1]].tobytes() for i in n], pa.binary()), pa.nulls(len(n), pa.binary())],
+            names=NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -132,16 +146,21 @@ def _gather(ranges: int, mod: int, held: int, run_size: int):
                 raw = [_bytes(t) for t in texts]
                 hashes, sizes = word_hashes(raw)
                 words, at = np.unique(hashes, return_inverse=True)
-                rng = (words >> np.uint64(33)).astype(np.int64) % ranges
+                rng = _word_range(words, ranges)
                 order = np.argsort(rng, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
                 counts = np.bincount(at, np.repeat(train, sizes), len(words)).astype(np.uint32)
-                yield by_range(0, run, words[order], counts[order], rng[order])
-                yield row(1, run, -1, np.concatenate([ids.astype(np.int64).view(np.uint32), sizes.astype(np.uint32)]).tobytes(), place[at].astype(np.uint32).tobytes())
+                yield by_range(0, run, words[order], counts[order], rng[order], np.ndarray.tobytes)
+                lengths = np.array([len(t) for t in raw], np.uint32)
+                head = np.concatenate([ids.astype(np.int64).view(np.uint32), lengths])
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([run], pa.int64()), pa.array([-1], pa.int32()), pa.array([head.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([_pack(np.frombuffer(b"".join(raw), np.uint8))], pa.binary())], names=NAMES)
+                keys, sizes = gram_keys(raw)
+                learned = np.repeat(train, sizes)
+                own = _counted(keys[learned])
+                wanted, rng = _by_range(np.union1d(own[0], keys[~learned]), ranges)
+                yield by_range(3, run, wanted, np.zeros(len(wanted), np.uint8)[:0], rng)
                 if train.any():
-                    grams.append(_counted(gram_keys([t for t, ok in zip(raw, train) if ok])[0]))
-                    held_grams += len(grams[-1][0])
+                    grams.append(own)
+                    held_grams += len(own[0])
                 if held_grams > 3_000_000:
                     grams = [_merge(*map(list, zip(*grams)))]
                     held_grams = len(grams[0][0])
@@ -174,35 +193,43 @@ def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["run", "range", "counts", "n", "v"])
 
 
-def _merge_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of some ranges for contexts of ORDER down to 2 bytes: (order, keys, counts)."""
-    keys, counts = [], []
-    for batch in batches:
-        keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
-        counts += [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in batch.column("counts")]
-    k, c = _merge(keys, counts)
-    for order in range(ORDER, 1, -1):
-        k, c = _merge([k & np.uint64((1 << 8 * (order + 1)) - 1)], [c])
-        for a in range(0, len(k), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([k[a : a + (1 << 16)].tobytes()], pa.binary()), pa.array([c[a : a + (1 << 16)].tobytes()], pa.binary())], names=["order", "keys", "counts"])
+def _word_range(words: np.ndarray, ranges: int) -> np.ndarray:
+    return (words >> np.uint64(33)).astype(np.int64) % ranges
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many entries have each count, counts over 4095 as one."""
-    total = np.zeros(4096, np.int64)
-    for batch in batches:
-        for x in batch.column("counts"):
-            total += np.bincount(np.minimum(np.frombuffer(x.as_buffer(), np.int64), 4095), minlength=4096)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(total)], names=["count", "entries"])
+def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys in order of range, and their ranges."""
+    rng = _gram_range(keys, ranges)
+    order = np.argsort(rng, kind="stable")
+    return keys[order], rng[order]
+
 
+def _answer(short: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Blocks in order of range, in each those of the trie (kind 2) first: log10 of the keys of every other block."""
 
-def _at_least(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, model, keys, counts, held = None, None, [], [], 0
         for batch in batches:
-            for order, k, c in zip(batch.column("order").to_pylist(), batch.column("keys"), batch.column("counts")):
-                k, c = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
-                ok = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([k[ok].tobytes()], pa.binary()), pa.array([c[ok].tobytes()], pa.binary())], names=["order", "keys", "counts"])
+            for kind, run, at, k, c in zip(batch.column("kind").to_pylist(), batch.column("run").to_pylist(), batch.column("range").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if at != rng:
+                    rng, model, keys, counts, held = at, None, [], [], 0
+                k = _unpack(k.as_py(), np.uint64, True)
+                if kind == 2:
+                    keys.append(k)
+                    counts.append(np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64))
+                    held += len(k)
+                    if held > 8_000_000:
+                        merged = _merge(keys, counts)
+                        keys, counts, held = [merged[0]], [merged[1]], 0
+                    continue
+                if model is None:
+                    k_all, c_all = _merge(keys, counts)
+                    tables, keys, counts = dict(short), [], []
+                    for order in range(ORDER, 1, -1):
+                        k_all, c_all = _merge([k_all & np.uint64((1 << 8 * (order + 1)) - 1)], [c_all])
+                        tables[order] = (k_all, c_all)
+                    model = ByteModel(tables)
+                yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([at], pa.int32()), pa.array([_pack(model.log10(k).astype(np.float32))], pa.binary())], names=["run", "range", "logs"])
 
     return run
 
@@ -280,57 +307,54 @@ class ByteModel:
         return out
 
 
-def _model(grams: DataFrame) -> ByteModel:
-    """Collects at most ENTRIES entries, and what contexts of under two bytes add: 65,792 at most."""
-    held = grams.mapInArrow(_sizes, "count long, entries long").groupBy("count").agg(F.sum("entries").alias("entries")).toPandas()
-    many = np.zeros(4096, np.int64)
-    many[held["count"]] = held["entries"]
-    at_least = np.cumsum(many[::-1])[::-1]
-    fits = np.flatnonzero(at_least[1:] <= ENTRIES)
-    least = int(fits[0]) + 1 if len(fits) else 1 << 12
-    while True:
-        kept = grams.mapInArrow(_at_least(least), "order int, keys binary, counts binary").where(F.length("keys") > 0)
-        if least < 4096 or kept.select(F.sum(F.expr("length(keys) div 8"))).first()[0] <= ENTRIES:
-            break
-        least *= 2
-    # lower contexts sum over all entries, kept or not
-    two = grams.where("order = 2").mapInArrow(_bytes_pairs, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toPandas()
+def _short(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Counts of contexts of one and no byte: 65,792 entries at most."""
+    two = grams.mapInArrow(_byte_pairs, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toPandas()
+    k, c = two["key"].to_numpy().astype(np.uint64), two["count"].to_numpy().astype(np.int64)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    k, c = two["key"].to_numpy().astype(np.uint64), two["count"].to_numpy()
     for order in (1, 0):
         k, c = _merge([k & np.uint64((1 << 8 * (order + 1)) - 1)], [c])
-        tables[order] = (k[c >= least], c[c >= least])
-    parts: dict[int, list] = {}
-    rows = kept.toArrow()
-    for order, keys, counts in zip(rows.column("order").to_pylist(), rows.column("keys"), rows.column("counts")):
-        parts.setdefault(order, []).append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)))
-    for order, blocks in parts.items():
-        tables[order] = _merge(*map(list, zip(*blocks)))
-    return ByteModel(tables)
-
-
-def _bytes_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = [], []
-    for batch in batches:
-        keys += [np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(0xFFFF) for x in batch.column("keys")]
-        counts += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("counts")]
-    k, c = _merge(keys, counts)
-    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["key", "count"])
+        tables[order] = (k, c)
+    return tables
 
 
-def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A run's documents with the counts of its words in order of range: tokens, known tokens, sum of log10(c + 1)."""
+def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for docs, tokens, counts in zip(batch.column("docs"), batch.column("tokens"), batch.column("counts").to_pylist()):
-            c = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in sorted(counts, key=lambda x: x["range"])])
-            head = np.frombuffer(docs.as_buffer(), np.uint32)
-            n = len(head) // 3
-            ids, sizes = head[: 2 * n].view(np.int64), head[2 * n :].astype(np.int64)
-            at = np.frombuffer(tokens.as_buffer(), np.uint32)
-            first = np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays(
-                [id_array(ids), pa.array(sizes), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(c + 1.0)[at], first))],
-                names=["doc_id", "n_tokens", "n_known", "logs"])
+        for k, c in zip(batch.column("keys"), batch.column("counts")):
+            np.add.at(total, (_unpack(k.as_py(), np.uint64, True) & np.uint64(0xFFFF)).astype(np.int64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64))
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["key", "count"])
+
+
+def _sums(ranges: int):
+    """A run's documents with the counts of its words and the logs of its keys, both in order of range: tokens, known
+    tokens, sum of log10(c + 1), log10 of the byte model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, raw, counts, logs = (batch.column(n)[i] for n in ("docs", "texts", "counts", "logs"))
+                head = np.frombuffer(docs.as_buffer(), np.uint32)
+                n = len(head) // 3
+                ids, lengths, raw = head[: 2 * n].view(np.int64), head[2 * n :].tolist(), _unpack(raw.as_py(), np.uint8).tobytes()
+                ends = np.cumsum(head[2 * n :].astype(np.int64)).tolist()
+                texts = [raw[end - size : end] for end, size in zip(ends, lengths)]
+                hashes, sizes = word_hashes(texts)
+                words, at = np.unique(hashes, return_inverse=True)
+                c = np.empty(len(words), np.int64)
+                c[np.argsort(_word_range(words, ranges), kind="stable")] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in sorted(counts.as_py(), key=lambda x: x["range"])])
+                first = np.cumsum(sizes) - sizes
+                keys, grams = gram_keys(texts)
+                keys, place = np.unique(keys, return_inverse=True)
+                found = np.empty(len(keys))
+                found[np.argsort(_gram_range(keys, ranges), kind="stable")] = np.concatenate([_unpack(x["logs"], np.float32) for x in sorted(logs.as_py(), key=lambda x: x["range"])])
+                yield pa.RecordBatch.from_arrays(
+                    [id_array(ids), pa.array(sizes), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(c + 1.0)[at], first)),
+                     pa.array(np.add.reduceat(found[place], np.cumsum(grams) - grams))],
+                    names=["doc_id", "n_tokens", "n_known", "logs", "score"])
+
+    return run
 
 
 def language_scores(docs: DataFrame, mod: int = 7, held: int = 2, run_size: int = 2_000_000) -> DataFrame:
@@ -339,32 +363,16 @@ def language_scores(docs: DataFrame, mod: int = 7, held: int = 2, run_size: int
     ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gathered = stored(named.mapInArrow(_gather(ranges, mod, held, run_size), RUN), "gathered")
-    grams = stored(gathered.where("kind = 2").select("range", "keys", "counts").repartition(ranges, "range").mapInArrow(_merge_grams, "order int, keys binary, counts binary"), "grams")
     words = stored(gathered.where("kind = 0").select("run", "range", "keys", "counts").repartition(ranges, "range").mapInArrow(_merge_words, "run long, range int, counts binary, n long, v long"), "words")
     n, v = words.where("run = -1").select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    short = _short(gathered.where("kind = 2").select("keys", "counts"))
+    grams = gathered.where("kind in (2, 3)").select("kind", "run", "range", "keys", "counts").repartition(ranges, "range").sortWithinPartitions("range", "kind")
+    answers = grams.mapInArrow(_answer(short), "run long, range int, logs binary")
     # the blocks of a run are bounded by its size
-    back = words.where("run >= 0").groupBy("run").agg(F.collect_list(F.struct("range", "counts")).alias("counts"))
-    base = gathered.where("kind = 1").select("run", F.col("keys").alias("docs"), F.col("counts").alias("tokens")).join(back, "run").select("docs", "tokens", "counts").mapInArrow(
-        _word_sums, "doc_id long, n_tokens long, n_known long, logs double")
-    model = spark.sparkContext.broadcast(_model(grams))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in runs(batch, "text", 1_000_000):
-                keys, sizes = gram_keys([_bytes(t) for t in texts])
-                logs = np.add.reduceat(model.value.log10(keys), np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(logs)], names=["doc_id", "score"])
-
-    scored = named.mapInArrow(score, "doc_id long, score double")
-    # rows that share a doc_id are matched in the order of their lengths; with one row for an id this is a plain join
-    return _side_by_side(scored, base, n, v, mod, held)
-
-
-def _side_by_side(scored: DataFrame, base: DataFrame, n: int, v: int, mod: int, held: int) -> DataFrame:
-    both = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list("score")).alias("scores")).join(
-        base.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "n_known", "logs")), asc=False).alias("sums")).withColumnRenamed("doc_id", "same"),
-        F.col("doc_id").eqNullSafe(F.col("same")))
-    rows = both.select("doc_id", F.explode(F.arrays_zip("scores", "sums")).alias("r"))
+    counts = words.where("run >= 0").groupBy("run").agg(F.collect_list(F.struct("range", "counts")).alias("counts"))
+    logs = answers.groupBy("run").agg(F.collect_list(F.struct("range", "logs")).alias("logs"))
+    rows = gathered.where("kind = 1").select("run", F.col("keys").alias("docs"), "texts").join(counts, "run").join(logs, "run").select("docs", "texts", "counts", "logs").mapInArrow(
+        _sums(ranges), "doc_id long, n_tokens long, n_known long, logs double, score double")
     return rows.select(
-        "doc_id", in_fold("doc_id", mod, held).alias("held_out"), "r.sums.n_tokens", "r.sums.n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("r.sums.logs") - F.col("r.sums.n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), F.col("r.scores").alias("score"))
+        "doc_id", in_fold("doc_id", mod, held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")

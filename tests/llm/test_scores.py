@@ -39,6 +39,22 @@ def test_language_scores_by_brute_force(frame):
     assert got == want and all(r.score < 0 for r in rows)
 
 
+def test_byte_scores_by_one_whole_trie(frame, monkeypatch):
+    from cellframe.llm import ppm
+
+    monkeypatch.setattr(ppm, "ENTRIES", 50, raising=False)  # no bound may count
+    rng = random.Random(2)
+    docs = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(30))) for i in range(60)]
+    train = [t.encode() for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    keys, _ = gram_keys(train)
+    model = ByteModel({order: np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_counts=True) for order in range(ORDER + 1)})
+    rows = language_scores(frame(docs, "doc_id long, text string"), run_size=300).collect()
+    assert len(rows) == len(docs)
+    texts = dict(docs)
+    for r in rows:
+        assert r.score == pytest.approx(model.log10(gram_keys([texts[r.doc_id].encode()])[0]).sum(), rel=1e-5)
+
+
 def test_language_scores_of_nothing(frame):
     assert language_scores(frame([], "doc_id long, text string")).count() == 0
 
