@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -50,6 +51,33 @@ def test_near_duplicates_by_brute_force(frame):
     assert len(odd) == 3 and near_duplicates(frame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_pairs_at_the_threshold_are_not_pruned():
+    from cellframe.llm.near_text import BATCHES, most_disagreements
+
+    rng = np.random.default_rng(1)
+    differ = rng.random((200_000, BATCHES[-1])) < (1 - 0.75) * 15 / 16  # of two sets of similarity 0.75
+    seen = np.cumsum(differ, axis=1, dtype=np.int16)[:, [n - 1 for n in BATCHES]]
+    assert (seen > np.array(most_disagreements(0.75))).any(axis=1).mean() < 2e-4
+
+
+def test_large_bands_meet_in_cells(frame, monkeypatch):
+    from cellframe.llm import near_text
+
+    monkeypatch.setattr(near_text, "BLOCK", 7)
+    rng = random.Random(4)
+    sizes = {i: rng.choice([1, 3, 4, 30, 40, rng.randint(1, 200)]) for i in range(100)}
+    part = {i: i % 3 for i in sizes}  # component 0 is the largest
+    rows = [(b, 5, i, part[i], n, 0, m, sum(part[j] > 0 for j in range(m))) for b, m in ((0, 100), (1, 7)) for i, n in list(sizes.items())[:m]]
+    x, y = near_text._cells(frame(rows, "band int, key long, id long, component long, n long, main long, m long, others long"), 75)
+    cells = [{}, {}]
+    for side, df in zip(cells, (x, y)):
+        for r in df.collect():
+            side.setdefault((r.band, r.id), set()).add(tuple(r.cell))
+    pairs = [(b, i, j) for b, m in ((0, 100), (1, 7)) for i in range(m) for j in range(m) if part[i] != part[j] and part[i] and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])]
+    assert {len(cells[0][b, i] & cells[1][b, j]) for b, i, j in pairs} == {1} and not {i for _, i in cells[0]} & {i for i in part if not part[i]}
+    assert max(Counter(c for (b, _), own in cells[1].items() if b == 0 for c in own).values()) < 30
+
+
 def test_near_vectors_by_brute_force(frame):
     rng = np.random.default_rng(4)
     rows = []
