@@ -7,13 +7,17 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_documents
 from .common import table
 from .decontaminate import leaks
+from .exact_copies import exact_duplicates
+from .exact_copies import oracle_sql as copies_sql
 from .html_text import main_texts
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
 from .ppm import language_scores
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .secrets import digest, scan
 from .secrets import oracle_sql as secrets_sql
@@ -87,3 +91,21 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@register
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+ORACLES["op11_exact_duplicates"] = copies_sql()
+
+
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
