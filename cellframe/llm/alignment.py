@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,9 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if len(self.a_bytes) > 1 << 16 or len(self.b_bytes) > 1 << PAIR:
             raise ValueError("vocabularies too large for a pair code")
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_size, self.b_size = (np.array([len(x) for x in names], np.int64) for names in (self.a_bytes, self.b_bytes))
+        #: An id followed by a comma, or by the mark that ends its side of a group.
+        self.marks = [b"%d%s" % (i, m) for names, end in ((self.a_bytes, b"|"), (self.b_bytes, b";")) for i in range(len(names)) for m in (b",", end)]
         self.space = self.b.piece_to_id("▁")
         self.limit = limit
         self._reset()
@@ -70,53 +73,47 @@ class Aligner:
         self.written: list[bytes] = []
         self.links, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, bytes, list[int]] | None:
-        """Number of groups, the groups as text, and links as pair codes; None where bytes differ from space + text."""
-        whole = b" " + text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        links, groups = [], []
-        i = j = first_i = first_j = 0
-        end_a, end_b = self.a_size[a[0]], self.b_size[b[0]]
-        while True:
-            links.append(a[i] << PAIR | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return len(groups), len(links), ";".join(groups).encode(), links
-                first_i, first_j = i, j
-                end_a, end_b = end_a + self.a_size[a[i]], end_b + self.b_size[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += self.a_size[a[i]]
-            else:
-                j += 1
-                end_b += self.b_size[b[j]]
-
-    def _aligned(self, texts: list[str]) -> Iterator[tuple[list[int], bytes, list[int]]]:
-        """Numbers, groups and links of texts that each follow a space."""
-        coded = zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
-        for text, a, b in coded:
-            b = b if text else [self.space]
-            found = self.align(text, a.ids, b)
-            if found is None:
-                yield [0, 0, 0, 0], b"", []
-            else:
-                yield [len(a.ids), len(b), *found[:2]], found[2], found[3]
+    def _aligned(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Numbers, groups as text, numbers of links and links of texts that each follow a space.
+
+        The texts' bytes are laid end to end. Between two neighbouring ends of tokens of either kind lies exactly one
+        token of each, so every such stretch is one link; ends that both kinds have close a group.
+        """
+        ids_a = [c.ids for c in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = [b if t else [self.space] for t, b in zip(texts, self.b.encode(texts, num_threads=1))]
+        size = np.array([len(t.encode()) + 1 for t in texts], np.int64)
+        sound = np.array([self._same(t, a, b) for t, a, b in zip(texts, ids_a, ids_b)])
+        for i in np.flatnonzero(~sound).tolist():
+            ids_a[i], ids_b[i], size[i] = [], [], 0
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        end_a, end_b, end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size)
+        close = np.intersect1d(end_a, end_b, assume_unique=True)
+        stretch = np.union1d(end_a, end_b)
+        links = a[np.searchsorted(end_a, stretch)] << PAIR | b[np.searchsorted(end_b, stretch)]
+        groups, n_links = (np.diff(np.searchsorted(x, end, side="right"), prepend=0) for x in (close, stretch))
+        # written out group by group, first the ids of a and then those of b; the last of each carries another mark
+        group = np.concatenate([np.searchsorted(close, end_a) * 2, np.searchsorted(close, end_b) * 2 + 1])
+        last = np.concatenate([np.isin(end_a, close, assume_unique=True), np.isin(end_b, close, assume_unique=True)])
+        order = np.argsort(group, kind="stable")
+        code = (np.concatenate([a, b + len(self.a_bytes)]) * 2 + last)[order].tolist()
+        parts = [self.marks[c] for c in code]
+        stops = np.cumsum(n_a + n_b).tolist()
+        written = [b"".join(parts[s:e])[:-1] for s, e in zip([0, *stops], stops)]
+        return np.stack([n_a, n_b, groups, n_links], axis=1), written, n_links, links
+
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether both give back space + text."""
+        return b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == b" " + text.encode()
 
     def _lookup(self, parts: list[str]) -> np.ndarray:
         fresh = [p for p in dict.fromkeys(parts) if p not in self.index]
         if fresh:
-            rows, sizes, links = [], [], []
-            for numbers, written, own in self._aligned(fresh):
-                rows.append(numbers)
-                self.written.append(written)
-                sizes.append(len(own))
-                links += own
+            numbers, written, sizes, links = self._aligned(fresh)
             self.index.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh))))
-            self.numbers = np.concatenate([self.numbers, np.array(rows, np.int64)])
-            self.links = np.concatenate([self.links, np.array(links, np.int64)])
+            self.numbers = np.concatenate([self.numbers, numbers])
+            self.written += written
+            self.links = np.concatenate([self.links, links])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
 
@@ -148,10 +145,10 @@ class Aligner:
         sound = ~broken[owner]
         codes = owner[sound] << 32 | links[sound]
         for i in np.flatnonzero(broken).tolist():  # whole, as no piece may be told from its neighbours
-            row, written, own = next(self._aligned([texts[i]]))
-            numbers[i] = row
-            digests[i] = hashlib.sha256(written).hexdigest() if row[0] else ""
-            codes = np.concatenate([codes, i << 32 | np.array(own, np.int64)])
+            row, written, _, own = self._aligned([texts[i]])
+            numbers[i] = row[0]
+            digests[i] = hashlib.sha256(written[0]).hexdigest() if row[0, 0] else ""
+            codes = np.concatenate([codes, i << 32 | own])
         codes, times = np.unique(codes, return_counts=True)
         return numbers, digests, codes >> 32, codes & 0xFFFFFFFF, times
 
