@@ -5,11 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pixels as px
 from ..functions.names import cell_id_for
+from ..session import materialize
 from .skew import blocked_rank, salted_join
 
 
@@ -225,36 +230,86 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
 
+# Number of low frequencies a signature holds, and how many of them lay out the grid on which tiles meet.
+SIGNATURE, GRID = 16, 3
+#: Unit vectors that correlate by at least MIN_CORRELATION are no further apart than this, and their signatures no more.
+REACH = (2 - 2 * MIN_CORRELATION) ** 0.5 * (1 + 1e-9)
+
+
+def _cosines(window: int, n: int) -> np.ndarray:
+    """The n lowest two-dimensional cosine waves without the constant one: orthonormal rows over a square window."""
+    orders = sorted((p + q, p, q) for p in range(window) for q in range(window) if p + q)[:n]
+    at = np.arange(window)
+    wave = [np.cos(np.pi * (2 * at + 1) * p / (2 * window)) for p in range(window)]
+    wave = [w / np.linalg.norm(w) for w in wave]
+    return np.array([np.outer(wave[p], wave[q]).ravel() for _, p, q in orders]).reshape(-1, window * window)
+
+
+def content_signatures(tiles: DataFrame, key: list[str], window: int) -> DataFrame:
+    """``(key…, n_set, content, signature)`` of tiles that can match at all: with a mask, and not constant.
+
+    ``content`` is the sha256 of mask and intensities; ``signature`` the low frequencies of the unit vector.
+    """
+    basis = _cosines(window, SIGNATURE)
+
+    def sign(batches):
+        for pdf in batches:
+            masks, values = pdf.pop("set_pixels"), pdf.pop("intensity")
+            use = [len(m) > 0 and bool(np.any(v)) for m, v in zip(masks, values)]
+            pdf, masks, values = pdf[use], masks[use], values[use]
+            if not len(pdf):
+                continue
+            rows = np.stack([np.asarray(v, dtype=np.float64) for v in values])
+            shas = [hashlib.sha256(np.asarray(m, dtype=np.int64).tobytes() + r.tobytes()).digest() for m, r in zip(masks, rows)]
+            yield pdf.assign(n_set=[len(m) for m in masks], content=shas, signature=list(rows @ basis.T))
+
+    fields = [tiles.schema[k] for k in key]
+    schema = T.StructType(fields).add("n_set", "long").add("content", "binary").add("signature", T.ArrayType(T.DoubleType()))
+    return tiles.select(*key, "set_pixels", "intensity").mapInPandas(sign, schema)
+
+
+def content_candidates(old: DataFrame, new: DataFrame, image: list[str]) -> DataFrame:
+    """Pairs ``(image…, old_label, new_label)`` of signed tiles that may match; none that does is missing.
+
+    A projection never lengthens a distance, so matching tiles lie within REACH of one another in every low
+    frequency. Tiles meet on a grid of that width over the frequencies that vary most, a pair at most once, and go on
+    if their whole signatures are near and their masks of comparable size.
+    """
+    spread = old.unionByName(new, allowMissingColumns=True).agg(
+        *[F.coalesce(F.var_pop(F.get("signature", F.lit(i))), F.lit(0.0)).alias(str(i)) for i in range(SIGNATURE)]
+    ).first()
+    axes = sorted(range(SIGNATURE), key=lambda i: -spread[i])[:GRID]
+
+    def step(i: int) -> Column:
+        return F.floor(F.coalesce(F.get("signature", F.lit(i)), F.lit(0.0)) / REACH).cast("int")
+
+    left = old.select(*image, "old_label", F.col("n_set").alias("_na"), F.col("signature").alias("_a"), *[step(i).alias(f"_g{i}") for i in axes])
+    right = new.select(*image, "new_label", F.col("n_set").alias("_nb"), F.col("signature").alias("_b"), *[step(i).alias(f"_g{i}") for i in axes])
+    for i in axes:
+        around = F.array(*[F.col(f"_g{i}") + F.lit(shift) for shift in (-1, 0, 1)])
+        right = right.withColumn(f"_g{i}", F.explode(around))
+    met = left.join(right, [*image, *[f"_g{i}" for i in axes]]).where("_na <= 2 * _nb and _nb <= 2 * _na")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
+    return met.where(apart <= REACH * REACH).select(*image, "old_label", "new_label")
+
+
 def match_cells_by_content(old: DataFrame, new: DataFrame, image: list[str], window: int) -> DataFrame:
     """For old tiles without a recorded place: the new tile of the image that looks the same.
 
     Wanted are mask overlap of one half and the best correlation of at least
-    0.9 (ties: the highest new label). Two sets that overlap by half must share
-    one of their rarest pixels: with all sets ordered by how common a pixel is,
-    it lies in the first ``floor(n / 2) + 1`` of each. Joining on those finds
-    every pair that can qualify without pairing all tiles of an image; sizes
-    and the true overlap are then checked on the candidates.
+    0.9 (ties: the highest new label). Tiles meet by their signatures
+    (``content_candidates``), which are a few numbers each; pixels are fetched
+    for the candidates only and decide. Tiles of equal content in an image are looked at once.
 
     ``old`` and ``new`` are ``(image…, old_label | new_label, set_pixels, intensity)``.
     """
-    everything = old.select("set_pixels").unionByName(new.select("set_pixels"))
-    # One number per window position, so at most window * window of them.
-    counted = everything.select(F.explode("set_pixels").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("f")).collect()
-    seen = dict(map(tuple, counted))
-    commonness = F.split(F.lit(",".join(str(seen.get(p, 0)) for p in range(window * window))), ",").cast("array<long>")
-
-    def prefixes(df, label):
-        ranked = F.array_sort(F.transform("set_pixels", lambda p: F.struct(F.get(commonness, p).alias("f"), p.alias("p"))))
-        keep = F.slice(ranked, 1, F.floor(F.size("set_pixels") / 2).cast("int") + 1)
-        return df.where(F.size("set_pixels") > 0).select(
-            *image, label, F.size("set_pixels").alias(f"n_{label}"), F.explode(F.transform(keep, lambda e: e["p"])).alias("p")
-        )
-
-    a, b = prefixes(old, "old_label"), prefixes(new, "new_label")
-    na, nb = F.col("n_old_label"), F.col("n_new_label")
-    candidates = (
-        a.join(b, [*image, "p"]).where((na <= nb * 2) & (nb <= na * 2)).select(*image, "old_label", "new_label").distinct()
-    )
+    signed_old = materialize(content_signatures(old, [*image, "old_label"], window), "signed")
+    signed_new = materialize(content_signatures(new, [*image, "new_label"], window), "signed")
+    same = [*image, "content"]
+    first = signed_old.groupBy(*same).agg(F.min("old_label").alias("old_label"), F.first("n_set").alias("n_set"), F.first("signature").alias("signature"))
+    last = signed_new.groupBy(*same).agg(F.max("new_label").alias("new_label"), F.first("n_set").alias("n_set"), F.first("signature").alias("signature"))
+    first = materialize(first, "contents")
+    candidates = content_candidates(first.drop("content"), last.drop("content"), image)
     o = old.select(*image, "old_label", F.col("set_pixels").alias("_sa"), F.col("intensity").alias("_ia"))
     n = new.select(*image, "new_label", F.col("set_pixels").alias("_sb"), F.col("intensity").alias("_ib"))
     pairs = candidates.join(o, [*image, "old_label"]).join(n, [*image, "new_label"])
@@ -264,7 +319,9 @@ def match_cells_by_content(old: DataFrame, new: DataFrame, image: list[str], win
         "corr", dot("_ia", "_ib")
     ).where(F.col("corr") >= MIN_CORRELATION)
     best = good.groupBy(*image, "old_label").agg(F.max(F.struct("corr", "new_label", "iou")).alias("_b"))
-    return old.select(*image, "old_label").join(best, [*image, "old_label"], "left").select(
+    by_content = first.select(*same, "old_label").join(best, [*image, "old_label"]).select(*same, "_b")
+    members = signed_old.select(*same, "old_label").join(by_content, same).select(*image, "old_label", "_b")
+    return old.select(*image, "old_label").join(members, [*image, "old_label"], "left").select(
         *image,
         "old_label",
         F.col("_b.new_label").alias("new_label"),

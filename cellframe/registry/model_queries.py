@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import approximate
 from ..operators import embeddings as emb
 from ..operators import lineage
 from ..operators import predictions as pred
@@ -252,6 +253,24 @@ for _metric, _expr in _DIST.items():
     query(_name, _GRAPH.format(dist=_expr))(_graph(_metric))
 
 
+_APPROX = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+    p1 AS (SELECT v AS p, j - 1 AS j FROM (SELECT v, row_number() OVER (ORDER BY h, vec_id) AS j FROM e) WHERE j <= 6),
+    d1 AS (SELECT e.vec_id, e.v, e.h, j AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e.v, p), j) AS near FROM e, p1),
+    p2 AS (SELECT cell, v AS p, j - 1 AS j FROM (SELECT cell, v, row_number() OVER (PARTITION BY cell ORDER BY h, vec_id) AS j FROM d1 WHERE near = 1) WHERE j <= 6),
+    d2 AS (SELECT d1.vec_id, d1.v, d1.near AS own, d1.cell * 6 + j AS cell, list_distance(d1.v, p) AS away FROM d1 JOIN p2 USING (cell) WHERE d1.near <= 5),
+    c AS (SELECT vec_id, v, arg_min(cell, struct_pack(a := away, c := cell)) AS cell FROM d2 WHERE own = 1 GROUP BY 1, 2),
+    q AS (SELECT vec_id, v, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY away, cell) AS near FROM d2) WHERE near <= 5),
+    d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, list_distance(q.v, c.v) AS distance FROM q JOIN c USING (cell) WHERE q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+    SELECT query_id, neighbor_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 4"""
+
+
+@query("knn_graph_approx", _APPROX)
+def _(v: Views):
+    out = approximate.knn_graph_approx(_ids(v), 4, fan=6, levels=2, probes=5)
+    return out.withColumn("distance", r6("distance"))
+
+
 _KNN = """r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY md5(concat(vec_id, ':0'))) AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
     s AS (SELECT *, CASE WHEN n > 1 THEN rk <= greatest(1, round_even(n * 0.2, 0)) ELSE false END AS is_val FROM r),
     d AS (SELECT a.vec_id AS query_id, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellframe.operators import approximate
 from cellframe.operators import embeddings as emb
 from cellframe.plans import classify
 
@@ -118,3 +119,39 @@ def test_human_tags_survive_inference(spark):
     r = report.first()
     assert (r.n_total, r.n_new, r.n_replaced, r.n_human, r.n_agree, r.n_unseen) == (4, 1, 1, 2, 1, None)
     assert r.accuracy_human == 0.5 and r.accuracy_unseen is None
+
+
+def _hits(got, x, k):
+    d = brute(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:k]}
+    return len(want & {(r.query_id, r.neighbor_id) for r in got}) / len(want)
+
+
+def test_approximate_graph_finds_most_neighbours(spark):
+    """Two levels of lists over clusters, one of which holds a third of all rows; a query sees a small part of them."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32)) * 2
+    which = np.where(rng.random(3000) < 0.33, 0, rng.integers(1, 60, 3000))
+    x = centres[which] + rng.normal(size=(3000, 32)) * 0.7
+    df = frame(spark, x)
+    got = approximate.knn_graph_approx(df, 5, fan=8, levels=2, probes=12, block_rows=100).collect()
+    assert len(got) == 15000 and _hits(got, x, 5) >= 0.9
+    again = approximate.knn_graph_approx(df.repartition(7), 5, fan=8, levels=2, probes=12, block_rows=77).collect()
+    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in got} == {(r.query_id, r.neighbor_id, r["rank"]) for r in again}
+
+
+@pytest.mark.parametrize("metric", emb.METRICS)
+def test_approximate_graph_without_levels_is_exact(spark, metric):
+    x = np.random.default_rng(5).normal(size=(90, 6))
+    exact = emb.knn_graph(frame(spark, x), 3, metric).collect()
+    got = approximate.knn_graph_approx(frame(spark, x), 3, metric, block_rows=40).collect()
+    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in got} == {(r.query_id, r.neighbor_id, r["rank"]) for r in exact}
+
+
+def test_approximate_lists_of_equal_vectors_are_whole(spark):
+    x = np.repeat(np.eye(3), 40, axis=0)
+    got = approximate.knn_graph_approx(frame(spark, x), 3, fan=4, levels=2, probes=2, block_rows=16).collect()
+    assert len(got) == 360 and all(r.distance == pytest.approx(0) and r.query_id // 40 == r.neighbor_id // 40 for r in got)
+    empty = frame(spark, x).limit(0)
+    assert approximate.knn_graph_approx(empty, 3).count() == 0
