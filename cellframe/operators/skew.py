@@ -98,47 +98,73 @@ def _value_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
-def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles for groups of any size.
+def _holds(index: Column, start: Column, n: Column) -> Column:
+    return (index >= start) & (index < start + n)
 
-    A histogram per group (aggregated map-side) tells which bins hold the order
-    statistics wanted. Only the rows of those bins are looked at again, as
-    (value, count) pairs counted map-side; camera counts
-    and float32 images have a bounded number of distinct values per bin, so no
-    task sees a whole group, even where most of its pixels are equal.
-    """
-    rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    ).withColumn("_bin", _value_bin(F.col("_v")))
-    hist = rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*group))
-    )
 
-    def spot(p):
-        return (F.col("_total") - 1) * F.lit(p / 100.0)
+def _wanted(percents: dict[str, float], start: Column, n: Column) -> Column:
+    """Whether rows ``start`` to ``start + n`` of a group hold one of the order statistics asked for."""
+    found = F.lit(False)
+    for p in percents.values():
+        spot = (F.col("_total") - 1) * F.lit(p / 100.0)
+        for index in (F.floor(spot), F.ceil(spot)):
+            found = found | _holds(index, start, n)
+    return found
 
-    def holds(index, start, n):
-        return (index >= start) & (index < start + n)
 
-    wanted = F.lit(False)
-    for p in percents.values():
-        for idx in (F.floor(spot(p)), F.ceil(spot(p))):
-            wanted = wanted | holds(idx, F.col("_before"), F.col("_n"))
-    chosen = hist.where(wanted).drop("_n")
-    pairs = (
-        join_facts(rows, chosen, [*group, "_bin"])
-        .groupBy(*group, "_bin", "_before", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+#: Parts into which a bin with too many rows is cut. Four cuts tell any two doubles of a first bin apart.
+PARTS, CUTS = 4096, 6
+
+
+def selected_bins(df: DataFrame, group: list[str], value: str, percents: dict[str, float], bin_rows: int) -> DataFrame:
+    """Rows ``(group…, _v, _before, _n, _total)`` of the value bins that hold the wanted order statistics.
+
+    ``_before`` is the number of rows of the group below the bin and names it. Bins start as in ``_value_bin``; those of more
+    than ``bin_rows`` rows are cut into equal parts between their least and greatest value, and the parts that hold
+    nothing wanted are dropped, until every bin is small or holds one value only. Cutting
+    is monotone in the value, rounding included, so counts below a bin stay exact.
+    """
+    rows = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_part", _value_bin(F.col("_v")))
+    size = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    hist = rows.groupBy(*group, "_part").agg(*size)
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hist = hist.withColumn("_before", below).withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+    chosen = materialize(hist.where(_wanted(percents, F.col("_before"), F.col("_n"))), "bins")
+    rows = join_facts(rows, chosen, [*group, "_part"]).drop("_part")
+    large = (F.col("_n") > bin_rows) & (F.col("_lo") < F.col("_hi"))
+    for _ in range(CUTS):
+        if not chosen.where(large).limit(1).count():
+            break
+        part = F.when(large, F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)).otherwise(F.lit(0)).cast("int")
+        rows = materialize(rows.select(*group, "_v", "_before", "_total", part.alias("_part")), "rows")
+        hist = rows.groupBy(*group, "_before", "_total", "_part").agg(*size)
+        below = F.sum("_n").over(Window.partitionBy(*group, "_before").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        hist = hist.withColumn("_start", F.col("_before") + F.coalesce(below, F.lit(0)))
+        chosen = materialize(hist.where(_wanted(percents, F.col("_start"), F.col("_n"))), "bins")
+        rows = join_facts(rows, chosen.drop("_total"), [*group, "_before", "_part"]).drop("_part", "_before").withColumnRenamed("_start", "_before")
+        chosen = chosen.drop("_before").withColumnRenamed("_start", "_before")
+    return rows.select(*group, "_v", "_before", "_n", "_total")
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, percents: dict[str, float], bin_rows: int = 1_000_000) -> DataFrame:
+    """Exact linear-interpolated percentiles for groups of any size.
+
+    A histogram per group (aggregated map-side) tells which bins hold the order
+    statistics wanted, and bins of many rows are cut further (``selected_bins``),
+    however close their values are. The rows left are counted by value map-side, so
+    no task sees more than ``bin_rows`` distinct values of a bin.
+    """
+    chosen = selected_bins(df, group, value, percents, bin_rows)
+    pairs = chosen.groupBy(*group, "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*group, "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     aggs = []
     for name, p in percents.items():
-        low = F.max(F.when(holds(F.floor(spot(p)), F.col("_start"), F.col("_c")), F.col("_v")))
-        high = F.max(F.when(holds(F.ceil(spot(p)), F.col("_start"), F.col("_c")), F.col("_v")))
-        frac = F.max(spot(p) - F.floor(spot(p)))
+        spot = (F.col("_total") - 1) * F.lit(p / 100.0)
+        low = F.max(F.when(_holds(F.floor(spot), F.col("_start"), F.col("_c")), F.col("_v")))
+        high = F.max(F.when(_holds(F.ceil(spot), F.col("_start"), F.col("_c")), F.col("_v")))
+        frac = F.max(spot - F.floor(spot))
         # no arithmetic on one value alone: it may be infinite
         aggs.append(F.when((low == high) | (frac == 0), low).otherwise(low + (high - low) * frac).alias(name))
     return pairs.groupBy(*group).agg(*aggs)

@@ -132,3 +132,19 @@ def test_percentiles_with_infinities(spark):
     df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", inf), ("b", inf)], "g string, v double")
     got = {r.g: (r.lo, r.mid, r.hi) for r in skew.exact_percentiles(df, ["g"], "v", {"lo": 0, "mid": 50, "hi": 100}).collect()}
     assert got == {"a": (-inf, 2.0, inf), "b": (inf, inf, inf)}
+
+
+def test_percentiles_of_values_close_together(spark):
+    """Two thirds of a group are distinct doubles within 0.2 % of one another: its bins are cut until they are small."""
+    rng = np.random.default_rng(2)
+    close = 1000 * (1 + rng.random(4000) * 0.002)
+    tight = np.array([1.5 + i * 2.0**-52 for i in range(700)])  # neighbouring doubles
+    values = {"a": np.concatenate([close, rng.normal(size=1500) * 900, np.full(500, 1000.5)]), "b": np.concatenate([tight, -tight]), "c": np.array([3.0])}
+    rows = [(g, float(v)) for g, part in values.items() for v in rng.permutation(part)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {"lo": 1.0, "low": 33.3, "mid": 50, "high": 66, "hi": 99.5}
+    got = {r.g: r for r in skew.exact_percentiles(df, ["g"], "v", want, bin_rows=20).collect()}
+    for g, part in values.items():
+        assert [got[g][k] for k in want] == pytest.approx(np.percentile(part, list(want.values())).tolist(), rel=1e-15, abs=0)
+    bins = skew.selected_bins(df, ["g"], "v", want, 20).groupBy("g", "_before").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_v").alias("d")).collect()
+    assert all(r.n <= 20 or r.d == 1 for r in bins)
