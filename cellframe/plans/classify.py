@@ -99,7 +99,7 @@ def train_probe(df: DataFrame, key: str, val_frac: float = 0.2, seed: int = 0, m
         F.create_map(*[F.lit(v) for r in weights.collect() for v in (r["label"], r["weight"])]), F.col("category")
     )
     features = array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
-    model = LogisticRegression(maxIter=max_iter, weightCol="w", featuresCol="features", labelCol="y").fit(
+    model = LogisticRegression(maxIter=max_iter, family="multinomial", weightCol="w", featuresCol="features", labelCol="y").fit(
         train.select(features.alias("features"), index.alias("y"), by_label.alias("w"))
     )
     names = F.array(*[F.lit(c) for c in labels])

@@ -9,7 +9,8 @@ from ..operators import embeddings as emb
 from ..operators import lineage
 from ..operators import predictions as pred
 from ..operators import ranking, tags
-from ..plans import classify
+from ..plans import classify, models
+from ..session import scratch_dir
 from .core import Views, query, r6, when_text
 
 KEY = ["project", "fov_id", "cell_id"]
@@ -355,11 +356,40 @@ def _(v: Views):
     )
 
 
-@query("train_probe")
+_PROBE = """WITH cf AS (SELECT v.*, g.category FROM fx_vecs v JOIN fx_vec_tags g USING (project, fov_id, cell_id) WHERE g.confidence IS NULL),
+    r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY md5(concat(project, '/', fov_id, '/', cell_id, ':0'))) AS rk, count(*) OVER (PARTITION BY category) AS n FROM cf),
+    s AS (SELECT category, CASE WHEN n > 1 THEN rk <= greatest(1, round_even(n * 0.2, 0)) ELSE false END AS is_val FROM r),
+    k AS (SELECT count(DISTINCT category) AS k, count(CASE WHEN NOT is_val THEN 1 END) AS t FROM s)
+    SELECT category, count(CASE WHEN NOT is_val THEN 1 END) AS n_train, count(CASE WHEN is_val THEN 1 END) AS n_val,
+      round(any_value(t) / (any_value(k) * greatest(count(CASE WHEN NOT is_val THEN 1 END), 1)), 6) AS weight, true AS recorded FROM s, k GROUP BY 1"""
+
+
+@query("train_probe", _PROBE)
+def _(v: Views):
+    out = models.train_probe_job(v.vecs, v.vec_tags, scratch_dir(v.spark, "models"), "probe", max_iter=20)
+    return out.select("category", "n_train", "n_val", r6("weight").alias("weight"), "recorded")
+
+
+@query(
+    "classify_pool_probe",
+    """WITH m AS (SELECT truth, i, avg(z) AS m FROM (SELECT truth, CAST(unnest(embedding) AS DOUBLE) AS z, generate_subscripts(embedding, 1) AS i FROM fx_vecs
+         JOIN fx_vec_tags USING (project, fov_id, cell_id) WHERE confidence IS NULL) GROUP BY 1, 2),
+       l AS (SELECT vec_id, m.truth AS pred, sum(2 * z * m - m * m) AS z FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS z, generate_subscripts(embedding, 1) AS i FROM fx_vecs) q
+         JOIN m USING (i) GROUP BY 1, 2),
+       best AS (SELECT vec_id, arg_max(pred, z) AS pred, exp(max(z)) / sum(exp(z)) AS score FROM l GROUP BY 1)
+       SELECT cell_id, CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN g.category ELSE pred END AS category,
+         round(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN NULL ELSE score END, 6) AS confidence,
+         g.category IS NOT NULL AND g.confidence IS NULL AS learned
+       FROM best JOIN fx_vecs USING (vec_id) LEFT JOIN fx_vec_tags g USING (project, fov_id, cell_id)""",
+)
 def _(v: Views):
-    df = v.vecs.select("vec_id", "embedding", F.col("truth").alias("category"))
-    _model, labels, pairs, _weights = classify.train_probe(df, "vec_id", max_iter=20)
-    return pred.evaluate_predictions(pairs, labels)
+    """A model row is written with its provenance, loaded again and used for the whole pool."""
+    folder = scratch_dir(v.spark, "models")
+    confirmed = v.vecs.join(tags.confirmed_records(v.vec_tags), KEY)
+    models.save_model(v.spark, folder, "means", models.LinearProbe.from_means(confirmed), confirmed)
+    new_tags, _report = classify.classify_pool(v.vecs, v.vec_tags, models.load_predictor(v.spark, folder, "means"))
+    seen = pred.seen_in_training(new_tags, models.read_provenance(v.spark, folder, "means"), KEY)
+    return seen.select("cell_id", "category", r6("confidence").alias("confidence"), F.col("seen").alias("learned"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellframe.operators import approximate
 from cellframe.operators import embeddings as emb
-from cellframe.plans import classify
+from cellframe.plans import classify, models
 
 
 def frame(spark, x, labels=None):
@@ -155,3 +155,46 @@ def test_approximate_lists_of_equal_vectors_are_whole(spark):
     assert len(got) == 360 and all(r.distance == pytest.approx(0) and r.query_id // 40 == r.neighbor_id // 40 for r in got)
     empty = frame(spark, x).limit(0)
     assert approximate.knn_graph_approx(empty, 3).count() == 0
+
+
+def test_a_trained_probe_predicts_from_its_row(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    names = ["p", "q", "r"]
+    labels = np.repeat([0, 1, 2], [40, 20, 8])
+    x = np.eye(5)[labels] * 4 + rng.normal(0, 0.4, (68, 5))
+    keys = [("pr", "f", f"c{i}") for i in range(68)]
+    tiles = spark.createDataFrame([(*k, [float(a) for a in row]) for k, row in zip(keys, x)], "project string, fov_id string, cell_id string, embedding array<double>")
+    tags = spark.createDataFrame(
+        [(*k, names[c], None if i % 4 else 0.3) for i, (k, c) in enumerate(zip(keys, labels))], "project string, fov_id string, cell_id string, category string, confidence double"
+    )
+    folder = str(tmp_path / "models")
+    report = {r.category: r for r in models.train_probe_job(tiles, tags, folder, "first", max_iter=30).collect()}
+    assert {c: (r.n_train, r.n_val, r.n_correct, r.recorded) for c, r in report.items()} == {"p": (24, 6, 6, True), "q": (12, 3, 3, True), "r": (5, 1, 1, True)}
+    row = models.read_models(spark, folder).first()
+    assert (row.model_id, row.labels, row.n_train, row.n_val, row.accuracy) == ("first", names, 41, 10, 1.0)
+    taught = {tuple(r)[:3] for r in models.read_provenance(spark, folder, "first").collect()}
+    assert len(taught) == 41 and all(int(k[2][1:]) % 4 for k in taught)
+
+    z = x @ np.array(row.coefficients).T + np.array(row.intercepts)
+    e = np.exp(z - z.max(1, keepdims=True))
+    scored = classify.predict_tiles(tiles, models.load_predictor(spark, folder, "first"))
+    got = {r.cell_id: (r.pred, r.score) for r in scored.collect()}
+    for i in range(68):
+        assert got[f"c{i}"] == (names[z[i].argmax()], pytest.approx(e[i].max() / e[i].sum()))
+
+    with pytest.raises(ValueError, match="exists"):
+        models.train_probe_job(tiles, tags, folder, "first")
+    with pytest.raises(ValueError, match="no model"):
+        models.load_predictor(spark, folder, "second")
+    models.save_model(spark, folder, "second", models.LinearProbe.from_means(tiles.join(tags.drop("confidence"), ["project", "fov_id", "cell_id"])), tags)
+    assert models.read_models(spark, folder).count() == 2
+
+
+def test_a_lost_training_run_can_be_repeated(spark, tmp_path):
+    """Provenance without a model row is what a run leaves that was lost before its commit."""
+    folder = str(tmp_path / "models")
+    rows = spark.createDataFrame([("p", "f", "c1", "x")], "project string, fov_id string, cell_id string, category string")
+    rows.unionByName(rows).write.parquet(f"{folder}/provenance/model_id=m")
+    assert models.read_models(spark, folder).count() == 0
+    models.save_model(spark, folder, "m", models.LinearProbe(["x"], [[1.0]], [0.0]), rows)
+    assert models.read_provenance(spark, folder, "m").count() == 1 and models.read_models(spark, folder).first().n_train == 1
