@@ -634,23 +634,23 @@ def _(v: Views):
 
 
 def _index_frames(v: Views):
-    li = v.table("lineitem")
-    frame = li.select(
-        nm.cell_id_for(F.col("l_suppkey").cast("string"), "l_partkey").alias("cell_id"),
-        F.col("l_suppkey").cast("string").alias("fov_id"),
+    """Every line has a role: returned ones are exported now (odd suppliers as fields that are new), the others were before."""
+    returned = F.col("l_returnflag") == "R"
+    name = F.col("l_suppkey").cast("string")
+    fov = F.when(returned & (F.col("l_suppkey") % 2 == 1), F.concat(F.lit("x"), name)).otherwise(name)
+    frame = v.table("lineitem").select(
+        nm.cell_id_for(fov, "l_partkey").alias("cell_id"),
+        fov.alias("fov_id"),
         F.col("l_partkey").alias("label"),
-        F.concat(F.lit("t/"), "l_returnflag").alias("crop_path"),
-        "l_returnflag",
-    )
-    old = frame.where("l_returnflag = 'N'").drop("l_returnflag").distinct()
-    new = frame.where("l_returnflag = 'R' and label % 3 = 0").drop("l_returnflag").distinct()
-    return old, new
+        F.when(returned, "t/R").otherwise("t/N").alias("crop_path"),
+    ).distinct()
+    return frame.where("crop_path = 't/N'"), frame.where("crop_path = 't/R'")
 
 
-_OLD = """old AS (SELECT DISTINCT printf('%s_cell%05d', CAST(l_suppkey AS VARCHAR), l_partkey) AS cell_id, CAST(l_suppkey AS VARCHAR) AS fov_id,
-    l_partkey AS label, 't/N' AS crop_path FROM lineitem WHERE l_returnflag = 'N'),
-    new AS (SELECT DISTINCT printf('%s_cell%05d', CAST(l_suppkey AS VARCHAR), l_partkey) AS cell_id, CAST(l_suppkey AS VARCHAR) AS fov_id,
-    l_partkey AS label, 't/R' AS crop_path FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 3 = 0)"""
+_OLD = """fr AS (SELECT CASE WHEN l_returnflag = 'R' AND l_suppkey % 2 = 1 THEN concat('x', l_suppkey) ELSE CAST(l_suppkey AS VARCHAR) END AS fov_id, l_partkey AS label,
+    CASE WHEN l_returnflag = 'R' THEN 't/R' ELSE 't/N' END AS crop_path FROM lineitem),
+    ix AS (SELECT DISTINCT printf('%s_cell%05d', fov_id, label) AS cell_id, fov_id, label, crop_path FROM fr),
+    old AS (SELECT * FROM ix WHERE crop_path = 't/N'), new AS (SELECT * FROM ix WHERE crop_path = 't/R')"""
 
 
 @query("concat_index", f"WITH {_OLD} SELECT * FROM old UNION ALL SELECT * FROM new")
@@ -661,14 +661,13 @@ def _(v: Views):
 
 @query(
     "upsert_tile_index",
-    f"""WITH {_OLD}, redone AS (SELECT DISTINCT fov_id FROM new WHERE CAST(fov_id AS BIGINT) % 2 = 0
+    f"""WITH {_OLD}, redone AS (SELECT DISTINCT fov_id FROM new
            UNION SELECT DISTINCT fov_id FROM old WHERE CAST(fov_id AS BIGINT) % 11 = 1)
        SELECT o.* FROM old o WHERE fov_id NOT IN (SELECT fov_id FROM redone)
-       UNION ALL SELECT * FROM new WHERE CAST(fov_id AS BIGINT) % 2 = 0""",
+       UNION ALL SELECT * FROM new""",
 )
 def _(v: Views):
     old, new = _index_frames(v)
     fov = F.expr("try_cast(fov_id as bigint)")
-    new = new.where(fov % 2 == 0)
     redone = new.select("fov_id").union(old.where(fov % 11 == 1).select("fov_id"))
     return ranking.upsert_tile_index(old, new, redone).select(*old.columns)

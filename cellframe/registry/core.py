@@ -78,21 +78,21 @@ VIEW_SQL: dict[str, str] = {
         (SELECT fov, z, vec_id, class, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM fx_planes)""",
     "fx_counts": """SELECT fov, z, vec_id, y, x, round_even(CAST(value AS DOUBLE) * 1000, 0) + 1000 AS value FROM fx_pixels""",
     "fx_mask": """SELECT fov, z, vec_id, y, x, 1 + (y // 4) * 2 + (x // 4) AS label FROM fx_pixels WHERE value > 0.02""",
-    "fx_files": """SELECT o_custkey % 10 AS project, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'raw'
-        WHEN '2' THEN '01_reduced' WHEN '3' THEN '02_denoised' WHEN '4' THEN '03_deconvolved' ELSE '05_tiles' END AS stage,
+    "fx_files": """SELECT o_custkey % 10 AS project, CASE WHEN o_custkey % 10 = 3 AND substr(o_orderpriority, 1, 1) = '1' OR o_custkey % 10 = 4 AND substr(o_orderpriority, 1, 1) IN ('3', '4')
+        THEN '05_tiles' ELSE CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'raw'
+        WHEN '2' THEN '01_reduced' WHEN '3' THEN '02_denoised' WHEN '4' THEN '03_deconvolved' ELSE '05_tiles' END END AS stage,
         concat('s', CAST(o_custkey AS VARCHAR)) AS stem, max(o_orderdate) AS mtime, count(*) AS size
-        FROM orders WHERE NOT (o_custkey % 10 = 3 AND substr(o_orderpriority, 1, 1) = '1')
-          AND NOT (o_custkey % 10 = 4 AND substr(o_orderpriority, 1, 1) IN ('3', '4')) GROUP BY 1, 2, 3""",
-    "fx_masks": """SELECT l_suppkey % 10 AS project, concat('s', CAST(l_partkey AS VARCHAR)) AS stem, max(l_shipdate) AS mtime
-        FROM lineitem WHERE l_suppkey % 10 <> 5 AND l_partkey % 10 = l_suppkey % 10 GROUP BY 1, 2""",
+        FROM orders GROUP BY 1, 2, 3""",
+    "fx_masks": """SELECT CASE l_partkey % 10 WHEN 5 THEN 15 ELSE l_partkey % 10 END AS project, concat('s', l_partkey) AS stem, max(l_shipdate) AS mtime
+        FROM lineitem GROUP BY 1, 2""",
     "fx_overrides": """SELECT DISTINCT project, CASE project WHEN 1 THEN '01_reduced' WHEN 4 THEN '03_deconvolved' END AS override
         FROM fx_files""",
     "fx_epochs": """SELECT l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS epoch, max(l_extendedprice) AS avg_loss,
         max(1 - l_discount) AS val_accuracy,
         CASE WHEN l_linenumber % 2 = 0 AND l_orderkey % 3 > 0 THEN max(1 - l_tax) END AS knn_accuracy
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
-    "fx_provenance": """SELECT DISTINCT l_suppkey AS container, l_partkey AS label FROM lineitem WHERE l_returnflag = 'A'""",
-    "fx_candidates": """SELECT DISTINCT l_suppkey AS container, l_partkey AS label FROM lineitem WHERE l_returnflag = 'R'""",
+    "fx_provenance": """SELECT DISTINCT l_suppkey AS container, l_partkey AS label FROM lineitem WHERE l_returnflag <> 'R'""",
+    "fx_candidates": """SELECT DISTINCT l_suppkey AS container, l_partkey AS label FROM lineitem WHERE l_returnflag <> 'A'""",
     "fx_tag_events": """SELECT user_id AS tile, ts, event_id,
         CASE WHEN event_type IN ('view', 'error') THEN 'ai' ELSE 'human' END AS actor,
         CASE WHEN event_type = 'signup' THEN '' WHEN event_id % 2 = 0 THEN 'single' ELSE 'two' END AS category,
@@ -282,16 +282,18 @@ class Views:
             .when(p == "4", "03_deconvolved")
             .otherwise("05_tiles")
         )
-        o = self.table("orders").where(~((project == 3) & (p == "1")) & ~((project == 4) & p.isin("3", "4")))
-        return o.groupBy(
+        # one project without raw files, one without some of its stages
+        stage = F.when(((project == 3) & (p == "1")) | ((project == 4) & p.isin("3", "4")), "05_tiles").otherwise(stage)
+        return self.table("orders").groupBy(
             project.alias("project"), stage.alias("stage"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("stem")
         ).agg(F.max("o_orderdate").alias("mtime"), F.count(F.lit(1)).alias("size"))
 
     @cached_property
     def masks(self):
-        p = F.col("l_suppkey") % 10
-        li = self.table("lineitem").where((p != 5) & (F.col("l_partkey") % 10 == p))
-        return li.groupBy(p.alias("project"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("stem")).agg(
+        """Masks of every part's stem; those of project 5 went to a project without files."""
+        p = F.col("l_partkey") % 10
+        stem = F.concat(F.lit("s"), F.col("l_partkey").cast("string"))
+        return self.table("lineitem").groupBy(F.when(p == 5, 15).otherwise(p).alias("project"), stem.alias("stem")).agg(
             F.max("l_shipdate").alias("mtime")
         )
 
@@ -313,17 +315,18 @@ class Views:
             )
         )
 
-    def _lineitem_pairs(self, flag):
-        li = self.table("lineitem").where(F.col("l_returnflag") == flag)
+    def _lineitem_pairs(self, other):
+        """Lines with flag N are on both sides, those with A and R on one each."""
+        li = self.table("lineitem").where(F.col("l_returnflag") != other)
         return li.select(F.col("l_suppkey").alias("container"), F.col("l_partkey").alias("label")).distinct()
 
     @cached_property
     def provenance(self):
-        return self._lineitem_pairs("A")
+        return self._lineitem_pairs("R")
 
     @cached_property
     def candidates(self):
-        return self._lineitem_pairs("R")
+        return self._lineitem_pairs("A")
 
     @cached_property
     def tag_events(self):
