@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -237,5 +238,22 @@ def spline_plane_weight(zc, row, n) -> Column:
     )
 
 
+def spline_row_weights(z: int, n: int, zc: np.ndarray) -> np.ndarray:
+    """``spline_plane_weight`` of plane ``z`` of ``n`` for arrays of heights within the stack."""
+    row = np.ones(1)
+    if n > 1:
+        i, period = np.arange(n), 2 * n - 2
+        image = 0.0 if z in (0, n - 1) else _POLE ** (i + z) + _POLE ** (period - i - z)
+        row = _GAIN / (1.0 - _POLE**period) * (_POLE ** np.abs(i - z) + _POLE ** (period - np.abs(i - z)) + image)
+    r = np.floor(zc + 0.5).astype(np.int64)
+    d = zc - r
+
+    def tap(t: int) -> np.ndarray:
+        i = np.abs(r + t)
+        return row[np.maximum(np.minimum(i, 2 * (n - 1) - i), 0)]
+
+    return 0.5 * (0.5 - d) ** 2 * tap(-1) + (0.75 - d * d) * tap(0) + 0.5 * (0.5 + d) ** 2 * tap(1)
+
+
 def linear_plane_weight(zc, z) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.abs(_col(zc) - _col(z).cast("double")))

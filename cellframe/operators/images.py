@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
+from . import strips
 from .skew import join_facts
 
 INT = "int"
@@ -235,38 +236,36 @@ def focal_slice(
     """Sample each pixel at its own height.
 
     A sample is a weighted sum over the planes (``px.spline_plane_weight``), so
-    each plane contributes its share where it is stored and the shares add up
-    map-side; no pixel's stack is gathered, and planes are not shuffled. ``finish``: ``uint16`` rounds as a
+    each plane contributes its share where it is stored, and the shares travel
+    as strips of pixels (``strips.strip_sums``); no pixel's stack is gathered. ``finish``: ``uint16`` rounds as a
     16-bit source does, ``truncate`` cuts as a float source does, None keeps it.
     """
+    out = strips.strip_sums({"value": placed_planes(planes, fits, fov, offset_planes)}, fov, degree, method)
+    out = out.withColumn("value", finished("value", finish))
+    return strips.strip_pixels(out, fov, ["value"])
+
+
+def placed_planes(planes: DataFrame, fits: DataFrame, fov: list[str], offset_planes=0.0) -> DataFrame:
+    """Planes of fields that have a surface, with what weighs them: ``z, n_z, coefs, offset``."""
     counts = planes.groupBy(*fov).agg(F.count(F.lit(1)).alias("n_z"))
     facts = fits.where(F.col("error").isNull()).select(*fov, "coefs").join(counts, fov)
-    placed = join_facts(planes, facts, fov, salt_on=[*fov, "z"])
-    row = px.prefilter_row("z", "n_z") if method == "spline" else F.lit(None).cast("array<double>")
-    rows = explode_pixels(placed.withColumn("_row", row), [*fov, "z", "coefs", "n_z", "_row"])
-    zc = surface_at(F.col("coefs"), F.col("y"), F.col("x"), F.col("height"), F.col("width"), degree)
-    off = F.lit(offset_planes) if isinstance(offset_planes, (int, float)) else offset_planes
-    zc = px.clip(zc + off, F.lit(0.0), (F.col("n_z") - 1).cast("double"))
-    rows = rows.select(*fov, "y", "x", "z", "n_z", "value", "_row", zc.alias("_zc"))
-    weight = (
-        px.linear_plane_weight("_zc", "z") if method == "linear" else px.spline_plane_weight("_zc", "_row", "n_z")
-    )
-    rows = rows.withColumn("_w", weight)
-    if method == "linear":
-        rows = rows.where(F.col("_w") > 0)
-    total = F.sum(F.col("_w") * F.col("value"))
+    offset = F.lit(offset_planes) if isinstance(offset_planes, (int, float)) else offset_planes
+    return join_facts(planes, facts, fov, salt_on=[*fov, "z"]).withColumn("offset", offset.cast("double"))
+
+
+def finished(values: str, finish: str | None) -> Column:
+    """Samples as the source's kind of number."""
     if finish == "uint16":
-        total = px.clip(F.floor(total + 0.5), F.lit(0), F.lit(65535)).cast(INT)
-    elif finish == "truncate":
-        total = px.clip(total.cast("long"), F.lit(0), F.lit(65535)).cast(INT)
-    return rows.groupBy(*fov, "y", "x").agg(total.alias("value"))
+        return F.transform(values, lambda v: px.clip(F.floor(v + 0.5), F.lit(0), F.lit(65535)).cast(INT))
+    if finish == "truncate":
+        return F.transform(values, lambda v: px.clip(v.cast("long"), F.lit(0), F.lit(65535)).cast(INT))
+    return F.col(values)
 
 
 def sum_project(planes: DataFrame, fov: list[str]) -> DataFrame:
     """Sum over z per pixel, in double, and how many planes went into it."""
-    return explode_pixels(planes, fov).groupBy(*fov, "y", "x").agg(
-        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_z")
-    )
+    out = strips.strip_sums({"value": planes}, fov)
+    return strips.strip_pixels(out, [*fov, "n_value"], ["value"]).select(*fov, "y", "x", "value", F.col("n_value").alias("n_z"))
 
 
 def donut_average(planes: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import images, strips
 from ..session import materialize
 
 
@@ -42,13 +42,12 @@ def reduce_fovs(
     """
     # One row per field, made from every plane: kept aside for the slice and the report.
     fits = materialize(focus_diagnostics(brightfield, fov, params)["fits"], "fits")
-    sharp = images.focal_slice(
-        brightfield, fits, fov, params.degree, params.offset_um / params.dz_um, finish=params.finish
-    )
-    summed = images.sum_project(target, fov)
-    reduced = sharp.withColumnRenamed("value", "brightfield").join(
-        summed.withColumnRenamed("value", "target"), [*fov, "y", "x"]
-    )
+    placed = images.placed_planes(brightfield, fits, fov, params.offset_um / params.dz_um)
+    # both channels in one pass and one shuffle; a field without a surface has no brightfield strips
+    both = strips.strip_sums({"brightfield": placed, "target": target}, fov, params.degree)
+    both = both.where("brightfield is not null and target is not null").withColumn("brightfield", images.finished("brightfield", params.finish))
+    reduced = strips.strip_pixels(both.withColumnRenamed("n_target", "n_z"), [*fov, "n_z"], ["brightfield", "target"])
+    reduced = reduced.select(*fov, "y", "x", "brightfield", "target", "n_z")
     report = fits.select(
         *fov, F.lit("reduce").alias("stage"), F.col("error").isNull().alias("success"), "error"
     )
