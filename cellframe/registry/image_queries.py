@@ -630,7 +630,7 @@ _BLOCKS = """d AS (SELECT vec_id, y, x, value, coalesce(lead(value) OVER (PARTIT
 
 def _calibration(v: Views, **known):
     out = photon.photon_calibration(
-        v.count_planes, IMG, block=2, n_bins=4, min_blocks=4, min_r_squared=0.1, bias=0.5, **known
+        v.count_planes, IMG, photon.GainFit(side=2, bins=4, least_blocks=4, least_r2=0.1, bias=0.5), **known
     )
     four = {c: F.round(c, 4) for c in ("offset", "read_variance")}
     six = {c: r6(c) for c in ("gain", "dark_variance", "r_squared")}
