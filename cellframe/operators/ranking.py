@@ -26,7 +26,7 @@ def review_queue(tagged: DataFrame) -> DataFrame:
     return tagged.orderBy(*review_order())
 
 
-def page(df: DataFrame, key: str, number: int, size: int, shallow: int = 100_000) -> DataFrame:
+def page(df: DataFrame, key: str, number: int, size: int, shallow: int = 10_000) -> DataFrame:
     """Page ``number`` (0-based, clamped to the last) in natural order of ``key``.
 
     Needs the row count to clamp, as a pager does. Early pages are a top-n. For
@@ -63,9 +63,14 @@ def seeded_hash(key, seed: int):
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer) by hash order; a top-n, not a full sort."""
-    h = seeded_hash(F.col(key), seed)
-    return df.orderBy(h, F.col(key)).limit(n)
+    """The first ``n`` rows (all if fewer) in the hash order of a unique key.
+
+    Counts per hash prefix give the hash at which ``n`` is reached; rows are compared with it where they lie, so a
+    large sample passes through no single task.
+    """
+    one = df.withColumn("_all", F.lit(0))
+    taken = mark_first_by_hash(one, ["_all"], seeded_hash(F.col(key), seed), lambda rows: F.least(rows, F.lit(n)), "_taken")
+    return taken.where("_taken").select(*df.columns)
 
 
 def stratified_split(

@@ -585,6 +585,15 @@ def _(v: Views):
     return ranking.page(v.tiles, "cell_id", 2, 50).select("cell_id", "label")
 
 
+@query(
+    "page_deep",
+    """SELECT cell_id, label FROM (SELECT *, row_number() OVER (ORDER BY CAST(substr(fov_id, 4) AS BIGINT), label) - 1 AS pos, count(*) OVER () AS n FROM fx_tiles)
+       WHERE pos // 30 = n // 45""",
+)
+def _(v: Views):
+    return ranking.page(v.tiles, "cell_id", v.tiles.count() // 45, 30, shallow=0).select("cell_id", "label")
+
+
 @query("page_count", "SELECT greatest(1, CAST(ceil(count(*) / 48) AS BIGINT)) AS n_pages FROM fx_tiles")
 def _(v: Views):
     return ranking.page_count(v.tiles, 48)
@@ -622,6 +631,14 @@ def _(v: Views):
     return ranking.sample_rows(tags.unlabeled(v.tiles, v.tags), "cell_id", 40, 7).select("cell_id")
 
 
+@query(
+    "sample_half",
+    """SELECT cell_id FROM (SELECT cell_id, row_number() OVER (ORDER BY md5(concat(cell_id, ':3')), cell_id) AS rn, count(*) OVER () AS n FROM fx_tiles) WHERE rn <= n // 2""",
+)
+def _(v: Views):
+    return ranking.sample_rows(v.tiles, "cell_id", v.tiles.count() // 2, 3).select("cell_id")
+
+
 @query(
     "keep_last",
     """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..operators import cells, contrast, images, photon
-from ..plans import export, reduce, reexport
+from ..plans import encode, export, reduce, reexport
 from ..schemas import TAGS
 from ..session import materialize, scratch_dir
 from ..sources.versions import VersionedTables
@@ -744,6 +744,21 @@ def _(v: Views):
     return export.unpack_tiles(tiles, ["pair", "label"])
 
 
+@query(
+    "encode_stored_tiles",
+    f"""WITH {_TILES}, grid AS (SELECT g.pair, g.label, p // 4 AS ty, p % 4 AS tx FROM g, (SELECT unnest(range(16)) AS p) b),
+        e AS (SELECT grid.pair, grid.label, (grid.ty // 2) * 2 + grid.tx // 2 AS b, avg(CASE WHEN mask > 0 THEN brightfield / 255.0 ELSE 0 END) AS m
+          FROM grid LEFT JOIN tp ON tp.pair = grid.pair AND tp.label = grid.label AND tp.ty = grid.ty AND tp.tx = grid.tx GROUP BY 1, 2, 3)
+        SELECT pair, label, string_agg(printf('%.5f', CAST(m AS FLOAT)), ',' ORDER BY b) AS embedding FROM e GROUP BY 1, 2""",
+)
+def _(v: Views):
+    wide, mask = _reduced(v)
+    tiles = export.export_tiles(wide, mask, ["pair"], SIZE, SIZE, "pair", export.TileParams(4, 1.0, 99.0))
+    out = encode.encode_stored_tiles(tiles, encode.BlockMeans(2), ["pair", "label"], chunk=50)
+    shown = F.transform("embedding", lambda m: F.format_string("%.5f", m))
+    return out.select("pair", "label", F.array_join(shown, ",").alias("embedding"))
+
+
 @query(
     "encode_tiles",
     """SELECT vec_id, string_agg(printf('%.6f', m), ',' ORDER BY b) AS embedding FROM (SELECT vec_id, (y // 2) * 4 + x // 2 AS b,
