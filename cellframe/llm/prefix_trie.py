@@ -333,3 +333,29 @@ def prefix_trie(conversations: DataFrame, every: int = 20, most: int = 4, block:
     rows = stored(prefixes(turns, block), "trie-rows")
     nodes, members = trie_nodes(rows, convs)
     return subtree_totals(nodes, members, **shards)
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB SQL, with whole prefixes as keys and every node joined with all nodes above it."""
+    said = "concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))"
+    # crc32 bit by bit: eight shifts a byte; 3988292384 is its reversed polynomial (fixed value)
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    digits = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))"
+    h = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda a, b: {byte}), 4294967295) % 4"
+    return rf"""WITH t AS (SELECT conv_id, coalesce(text, '') AS text, sha256({said}) AS said,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256({said})) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        cv AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {h} AS h FROM t GROUP BY conv_id),
+        k AS (SELECT cv.*, least(cv.h, coalesce(b.n, 0)) AS lent FROM cv LEFT JOIN cv b ON b.conv_id = cv.base),
+        r AS (SELECT k.conv_id, pos + 1 AS depth, said, text FROM k JOIN t ON t.conv_id = k.base AND pos < h
+          UNION ALL SELECT k.conv_id, pos - h + lent + 1, said, text FROM k JOIN t USING (conv_id) WHERE pos >= h),
+        p AS (SELECT conv_id, depth, text, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS whole FROM r UNION ALL SELECT conv_id, 0, '', '' FROM cv),
+        o AS (SELECT conv_id, depth, text, min(conv_id) OVER (PARTITION BY depth, whole) AS node FROM p),
+        n AS (SELECT node AS conv_id, depth, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS own FROM o GROUP BY node, depth),
+        w AS (SELECT n.*, up.node AS parent FROM n LEFT JOIN o up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+        below AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM w WHERE parent IS NOT NULL GROUP BY 1, 2),
+        whole AS (SELECT a.node AS conv_id, a.depth, CAST(sum(w.own) AS BIGINT) AS saved_tokens, count(*) FILTER (b.n_children IS NULL) AS n_leaves
+          FROM w LEFT JOIN below b ON b.conv_id = w.conv_id AND b.depth = w.depth JOIN o a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY 1, 2),
+        ends AS (SELECT node AS conv_id, o.depth, string_agg(CAST(o.conv_id AS VARCHAR), ',' ORDER BY o.conv_id) AS ids
+          FROM o JOIN (SELECT conv_id, max(depth) AS depth FROM o GROUP BY 1) l ON l.conv_id = o.conv_id AND l.depth = o.depth GROUP BY 1, 2)
+        SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM w LEFT JOIN below USING (conv_id, depth) JOIN whole USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""

@@ -17,6 +17,7 @@ from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .packing import pack, with_crc
 from .ppm import language_scores
+from .prefix_trie import oracle_sql as trie_sql
 from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .secrets import digest, scan
@@ -106,6 +107,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+ORACLES["op12_prefix_trie"] = trie_sql()
+
+
 @register
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
