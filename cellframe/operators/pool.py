@@ -89,6 +89,18 @@ def annotation_stats(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -
     )
 
 
+def results_long(tiles: DataFrame, tags: DataFrame) -> DataFrame:
+    """The results as rows ``(project, fov, category, n, n_human)``, for any number of categories.
+
+    ``category`` is null for what is unclassified; the field "" of project "" holds the totals. Names are values here,
+    not columns, so none goes through the driver; a category that a field has no tile of has no row.
+    """
+    counts = materialize(fov_category_counts(tiles, tags), "results")
+    rows = counts.select("project", F.col("fov_id").alias("fov"), "category", "n", "n_human")
+    totals = rows.groupBy("category").agg(F.sum("n").alias("n"), F.sum("n_human").alias("n_human"))
+    return rows.unionByName(totals.select(F.lit("").alias("project"), F.lit("").alias("fov"), "category", "n", "n_human"))
+
+
 def results_table(tiles: DataFrame, tags: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per field of view: tiles, one column per category, unclassified, human-set; then a total row.
 

@@ -290,6 +290,16 @@ def _(v: Views):
     return pool.results_table(v.tiles, v.tags, VOCABULARY)
 
 
+@query(
+    "results_long",
+    f"""WITH r AS (SELECT t.project, t.fov_id AS fov, g.category, count(*) AS n, count(CASE WHEN g.category IS NOT NULL AND g.confidence IS NULL THEN 1 END) AS n_human
+         FROM {_TAGGED} GROUP BY 1, 2, 3)
+       SELECT * FROM r UNION ALL SELECT '', '', category, CAST(sum(n) AS BIGINT), CAST(sum(n_human) AS BIGINT) FROM r GROUP BY category""",
+)
+def _(v: Views):
+    return pool.results_long(v.tiles, v.tags)
+
+
 @query(
     "checked_fovs",
     """SELECT DISTINCT project, fov_id FROM fx_tiles WHERE project IN ('p0', 'p1', 'p2')

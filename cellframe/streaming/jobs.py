@@ -90,7 +90,7 @@ def start_tally_refresh(
     )
 
 
-def start_index_growth(records: DataFrame, index_path: str, checkpoint: str, export: str | None = None, **trigger):
+def start_index_growth(records: DataFrame, index_path: str, checkpoint: str, export: str | None, **trigger):
     """Upsert the tile index as fields of view finish; replaying a batch changes nothing.
 
     ``records`` streams rows of the index, which is partitioned by field of
@@ -100,7 +100,7 @@ def start_index_growth(records: DataFrame, index_path: str, checkpoint: str, exp
     one are left out. An export without cells is one row with a NULL ``cell_id``;
     read the index with ``read_partitions`` and key ``cell_id``.
 
-    Without ``export`` each batch replaces the fields it names, so a field must
+    With ``export=None``, which a caller has to say, each batch replaces the fields it names, so a field must
     arrive in one batch.
     """
     spark = records.sparkSession

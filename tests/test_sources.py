@@ -181,7 +181,7 @@ def test_index_grows_by_field(spark, tmp_path):
         rows = [(f"{fov}_cell{n:05d}", fov, n, "x") for n in labels]
         spark.createDataFrame(rows, TILE_INDEX).coalesce(1).write.mode("append").parquet(feed)
         stream = spark.readStream.schema(TILE_INDEX).parquet(feed)
-        jobs.start_index_growth(stream, index, ckpt).awaitTermination()
+        jobs.start_index_growth(stream, index, ckpt, export=None).awaitTermination()
         return sorted((r.fov_id, r.label) for r in spark.read.schema(TILE_INDEX).parquet(index).collect())
 
     assert arrive("001", [1, 2, 3]) == [("001", 1), ("001", 2), ("001", 3)]
