@@ -114,6 +114,8 @@ def knn_join_approx(
         routed = steps.groupBy("id").agg(F.first("embedding").alias("embedding"), best.alias("_c"))
         routed = materialize(routed.select("id", "embedding", F.explode(F.transform("_c", lambda c: c["cell"])).alias("cell")), "routed")
 
+    if not levels:  # both sides may be one table; as a table of its own the corpus has columns of its own
+        placed = materialize(placed, "placed")
     lists, visits = _counts(placed), _counts(routed)
     keys = ["cell", "block", "chunk"]
     left = _in_blocks(_repeated(routed, lists, block_rows, "block"), visits, block_rows, "chunk")
