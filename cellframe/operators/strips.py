@@ -21,6 +21,8 @@ from ..functions.pixels import spline_row_weights
 STRIP_PIXELS = 65_536
 #: Sums a task holds before it sends them, in pixels.
 HELD_PIXELS = 16_000_000
+#: Pixels read for a batch of results.
+MADE_PIXELS = 1_000_000
 
 
 def _surface(coefs: np.ndarray, degree: tuple[int, int], at: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -90,16 +92,23 @@ def _partial(fov: list[str], degree: tuple[int, int], method: str, strip_pixels:
 
 
 def _merged(fov: list[str], channels: list[str]):
-    """Adds up rows sorted by field, strip and channel; one row per strip, in batches of a few."""
+    """Adds up rows sorted by field, strip and channel; one row per strip, in batches of bounded size."""
     names = [*fov, "strip", "first", "width", *[f"n_{c}" for c in channels], *channels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sums, kinds = None, {}, []
-
-        def row() -> pa.RecordBatch:
-            fields = [pa.array([k], t) for k, t in zip(key, [*kinds, pa.int32(), pa.int32(), pa.int32()])]
-            counts = [pa.array([sums[i][0] if i in sums else None], pa.int64()) for i in range(len(channels))]
-            arrays = [_arrays([sums[i][1]]) if i in sums else pa.nulls(1, pa.list_(pa.float64())) for i in range(len(channels))]
+        done: list[tuple[list, dict]] = []
+        pixels = 0
+
+        def made() -> pa.RecordBatch:
+            fields = [pa.array([k[i] for k, _ in done], t) for i, t in enumerate([*kinds, pa.int32(), pa.int32(), pa.int32()])]
+            counts = [pa.array([s[c][0] if c in s else None for _, s in done], pa.int64()) for c in range(len(channels))]
+            arrays = []
+            for c in range(len(channels)):
+                there = np.array([c in s for _, s in done])
+                stops = np.cumsum([0, *[len(s[c][1]) if c in s else 0 for _, s in done]])
+                flat = np.concatenate([np.zeros(0), *[s[c][1] for _, s in done if c in s]])
+                arrays.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat), mask=pa.array(~there)))
             return pa.RecordBatch.from_arrays([*fields, *counts, *arrays], names=names)
 
         for batch in batches:
@@ -109,12 +118,17 @@ def _merged(fov: list[str], channels: list[str]):
             for i, (*name, channel, n) in enumerate(zip(*small)):
                 if name != key:
                     if key is not None:
-                        yield row()
+                        done.append((key, sums))
+                    if pixels > MADE_PIXELS:
+                        yield made()
+                        done, pixels = [], 0
                     key, sums = name, {}
                 part = _flat(values, i)
+                pixels += len(part)
                 sums[channel] = [sums[channel][0] + n, sums[channel][1] + part] if channel in sums else [n, part]
         if key is not None:
-            yield row()
+            done.append((key, sums))
+            yield made()
 
     return run
 
