@@ -80,6 +80,19 @@ def sample_rows(df: DataFrame, limit: int, key: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(limit)
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a stored table of one row per key; ``count`` says how many rows have the key.
+
+    Keys of more than a thousandth of all rows are fewer than a thousand, so these are broadcast, and no key of the shuffle
+    join is large. Rows without a fact go.
+    """
+    total = facts.agg(F.sum(count)).head()[0] or 0
+    large = F.col(count) * 1000 > total
+    hot = F.broadcast(facts.where(large))
+    cold = rows.join(F.broadcast(facts.where(large).select(key)), key, "left_anti").join(facts.where(~large), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components: ``(id, component)`` for every node that has a link, component = smallest id in it.
 
@@ -123,4 +136,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-__all__ = ["table", "stored", "materialize", "crc_mod", "in_fold", "ids_of", "id_array", "NO_ID", "runs", "per_batch", "sample_rows", "components", "ascii_words", "mix64", "WORD_SEPARATORS"]
+__all__ = ["table", "stored", "materialize", "crc_mod", "in_fold", "ids_of", "id_array", "NO_ID", "runs", "per_batch", "sample_rows", "join_counted", "components", "ascii_words", "mix64", "WORD_SEPARATORS"]

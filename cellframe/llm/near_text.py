@@ -1,24 +1,27 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact comparison.
 
-1. Documents with the same set of word shingles form a class; its smallest doc_id stands for it.
+1. Documents with the same set of word shingles form a class, which has a number of its own and its smallest doc_id.
 2. A class gets ``BANDS`` band keys of ``ROWS`` minimum hashes each, and ``HASHES`` four-bit MinHashes, 64 to four words
    of one bit of each. Two of them agree with probability J + (1 - J) / 16 for Jaccard similarity J.
 3. Classes that share a band are candidates. After each of ``BATCHES`` hashes the posterior of J given the agreements
    so far, from a uniform prior, is known; a pair is dropped as soon as P(J >= threshold) falls below ``miss``. The
    bounds are a table of the most disagreements that a batch may end with.
 4. Survivors are compared on their full shingle sets.
-5. Links become components. To spare the square of a group: first every member of a band is compared with the band's
-   smallest member; then only members of a band that are still in different components are compared with each other.
-   A pair that is left out lies in one component already, so components are those of all pairs that meet in a band.
-   Those outside the largest component of a band meet all others. Bands of more than ``BLOCK`` members are cut by set
-   size, where only neighbouring sizes can be similar enough, and by hash into blocks, so that no band is one task.
-
+5. Links become components. To spare the square of a group: first every member of a band is compared with one member of
+   the band, the pivot; up to ``STARS`` times more, a new pivot outside the band's largest component is compared with the
+   members of other components, until that links nothing new. Only members of a band that are still in different
+   components are then compared with each other, inside the join, which gives out confirmed links alone. A pair that is
+   left out lies in one component already, so components are those of all pairs that meet in a band. Bands of more than
+   ``BLOCK`` are cut by set size, where only neighbouring sizes can be similar enough, and by hash into blocks, so that no
+   band is one task.
+
+Sets are compared as 64-bit hashes of shingles: a shingle is taken for another with probability 2**-64.
 A pair of similarity 0.75 is lost with probability 5e-6 + 4.1e-5: it misses all bands, (1 - 0.75 ** ROWS) ** BANDS, or is
 dropped by the sequential test (simulated; 1e-5 at similarity 0.76).
 
 Defined results: null text or text without words has an empty set, 0 shingles and no links; texts of fewer words than
-a shingle have one shingle; repeated doc_ids are separate rows with the same component; an empty table gives no rows;
-other columns are ignored.
+a shingle have one shingle; repeated doc_ids are separate rows, each with the component of its own text; a null doc_id is larger
+than any other and is kept only in a component without ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,38 +34,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, stored
+from .common import components, join_counted, mix64, stored
 
 SHINGLE, BANDS, ROWS, HASHES = 5, 32, 4, 384
 BATCHES = (64, 192, 384)
 MISS = 1e-5
 MARKS = 1 << 24
 BLOCK = 1024
+PIECE = 1 << 20
+STARS = 2
 
 
 def _word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word (lower-cased A-Z; split at space and 0x09-0x0D) from one pass over the bytes."""
+    """A 64-bit hash of each word (lower-cased A-Z; split at space and 0x09-0x0D).
+
+    A word's hash is the mixed sum of one pseudorandom number for each (place in the word, byte), so two words that differ
+    agree with probability 2**-64. Long texts are taken in pieces that end after a space.
+    """
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    powers, inverse = _powers(1 << max(12, int(len(raw) - 1).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], dtype=np.uint64)])
-    return mix64((sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64) << np.uint64(56))
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, np.uint64(b))
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    out = np.zeros(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        last = max(first + 1, int(np.searchsorted(end, begin[first] + PIECE, "right")))
+        low, high = begin[first], end[last - 1]
+        starts = begin[first:last] - low
+        place = np.arange(high - low) - np.repeat(starts, np.diff(np.append(starts, high - low)))
+        values = mix64((place.astype(np.uint64) << np.uint64(8) | raw[low:high]) + np.uint64(0x9E3779B97F4A7C15))
+        values[space[low:high]] = 0
+        out[first:last] = mix64(np.add.reduceat(values, starts) ^ (end - begin)[first:last].astype(np.uint64))
+        first = last
+    return out
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -101,6 +105,12 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(planes, axis=2).reshape(-1, 8).copy().view("<i8").ravel()
 
 
+def digest(s: np.ndarray) -> bytes:
+    """128 bits of a set and its size; sets that differ agree with probability 2**-128."""
+    i = np.arange(1, len(s) + 1, dtype=np.uint64)
+    return b"%016x%016x%x" % (int(np.bitwise_xor.reduce(mix64(s))), int((s * mix64(i)).sum(dtype=np.uint64)), len(s))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
@@ -110,8 +120,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             if len(s):
                 k, w = signature(s)
-                i = np.arange(1, len(s) + 1, dtype=np.uint64)
-                digests.append(b"%016x%016x%x" % (int(np.bitwise_xor.reduce(mix64(s))), int((s * mix64(i)).sum(dtype=np.uint64)), len(s)))
+                digests.append(digest(s))
                 keys.append(k)
                 words.append(w)
             else:
@@ -161,8 +170,9 @@ def _set_rows(marks: bytes):
         for batch in batches:
             at = batch.column("mark").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((there[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            digests = [digest(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     return run
 
@@ -172,7 +182,7 @@ def _mark(column: str):
 
 
 def _marks(wanted: DataFrame) -> bytes:
-    """A bitmap of MARKS bits (2 MB, whatever the input) that has the mark of every wanted id: texts of other documents
+    """A bitmap of MARKS bits (2 MB, whatever the input) that has the mark of every wanted doc_id: texts of other documents
     need not be moved. The more ids there are, the fewer texts it spares; the exact join follows."""
     rows = wanted.select(_mark("doc_id")).groupBy((F.expr("mark div 64")).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(mark % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(MARKS // 64, np.int64)
@@ -180,16 +190,24 @@ def _marks(wanted: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, shingles)`` of the classes in ``ids``, made again from a document of each."""
+    wanted = stored(classes.join(ids.distinct(), "id", "left_semi").select("id", "digest", "doc_id"), "wanted")
+    made = docs.select("text", _mark("doc_id")).mapInArrow(_set_rows(_marks(wanted)), "digest binary, shingles array<long>")
+    return stored(made.join(wanted.select("id", "digest"), "digest").select("id", "shingles").dropDuplicates(["id"]), "sets")
+
+
+def _alike(percent: int):
+    both = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    return 100 * both >= percent * (F.size("x.shingles") + F.size("y.shingles") - both)
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough. Only documents in some pair have their sets made again."""
     pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "wanted")
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _mark("doc_id")).mapInArrow(_set_rows(_marks(wanted)), "doc_id long, shingles array<long>")
-    sets = stored(made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return stored(pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, docs)
+    return stored(
+        pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), (F.col("b") == F.col("y.id")) & _alike(percent)).select("a", "b"), "links")
 
 
 def _cells(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -213,50 +231,84 @@ def _cells(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return cut(members.where("component != main"), left), cut(members, right)
 
 
+def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one component: with main, the component of most weight in the band, m, the
+    band's weight, and others, the weight outside main. A member weighs one, and one more for every 1,024 shingles, so that
+    a block of members is bounded in bytes too."""
+    named = buckets.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    weight = F.sum(F.expr("1 + n div 1024"))
+    parts = named.groupBy("band", "key", "component").agg(weight.alias("c"), F.min("id").alias("least"))
+    most = parts.groupBy("band", "key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("most"))
+    apart = parts.join(most, ["band", "key"]).where("component != most.component").groupBy("band", "key").agg(
+        F.first("m").alias("m"), F.first("most.component").alias("main"), F.first(F.expr("m - most.c")).alias("others"), F.min("least").alias("pivot"))
+    return stored(named.join(apart, ["band", "key"]), "mixed")
+
+
+def _stars(members: DataFrame, sketch: DataFrame, plausible) -> DataFrame:
+    """Plausible pairs ``(a, b)`` of a band's pivot and each member of another component."""
+    pairs = members.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    return pairs.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), (F.col("b") == F.col("y.id")) & plausible).select("a", "b")
+
+
+def _crossing(rest: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, plausible) -> DataFrame:
+    """Links between members of a band that are still in different components.
+
+    Cells are joined twice, and no candidate pair leaves a join: first for the members that have a plausible partner, then,
+    with the full sets of these members only, for the links themselves.
+    """
+    met = F.lit(False)  # a pair is taken in the first band that it shares
+    for k in range(BANDS - 1):
+        met = met | ((F.col("x.band") > k) & (F.get("x.bands", F.lit(k)) == F.get("y.bands", F.lit(k))))
+    meet = (
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.main"))) & plausible & ~met
+    )
+    left, right = _cells(rest, percent)
+    able = left.alias("x").join(right.alias("y"), meet, "left_semi").select("id").union(right.alias("y").join(left.alias("x"), meet, "left_semi").select("id"))
+    sets = _sets(stored(able.distinct(), "able"), classes, docs)
+    left, right = _cells(rest.join(sets, "id"), percent)
+    return stored(
+        left.alias("x").join(right.alias("y"), meet & _alike(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs`` (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signed")
-    heads = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
+    # one row for each distinct set, with a number of its own; written before the number is used
     classes = stored(
-        signed.where("n_shingles > 0").join(heads, "digest")
-        .select("doc_id", "head", F.when(F.col("doc_id") == F.col("head"), F.col("n_shingles")).alias("n"), F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("head"), F.col("bits")).alias("bits")),
+        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "bands", "bits")).alias("s"))
+        .select(F.monotonically_increasing_id().alias("id"), "digest", "doc_id", "copies", F.col("s.n_shingles").alias("n"), "s.bands", "s.bits"),
         "classes",
     )
-    sets = classes.where("n is not null").select(F.col("head").alias("id"), "n", "bands", "bits").dropDuplicates(["id"])
-    sketch = sets.select("id", "n", "bits")
-    # members of bands with company; the smallest member is the pivot
-    members = sets.select("id", F.posexplode("bands").alias("band", "key"))
+    sketch = classes.select("id", "n", "bits")
+    members = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     full = members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = stored(members.join(full, ["band", "key"]).select("band", "key", "pivot", "id"), "buckets")
+    buckets = stored(members.join(full, ["band", "key"]).select("band", "key", "pivot", "id", "n"), "buckets")
     sizes_allow = (100 * F.least(F.col("x.n"), F.col("y.n")) >= percent * F.greatest(F.col("x.n"), F.col("y.n")))
     plausible = sizes_allow & _plausible(percent / 100)
 
-    stars = buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), (F.col("b") == F.col("y.id")) & plausible).select("a", "b")
-    links = _confirm(stars, docs, percent)
+    links = _confirm(_stars(buckets, sketch, plausible), classes, docs, percent)
+    buckets = buckets.drop("pivot")
+    for _ in range(STARS):
+        rest = _mixed(buckets, links)
+        if not rest.limit(1).count():
+            break
+        main = rest.where("id = pivot").select("band", "key", F.col("component").alias("own"))
+        new = _confirm(_stars(rest.join(main, ["band", "key"]).where("component != own"), sketch, plausible), classes, docs, percent)
+        if not new.limit(1).count():
+            break
+        links = links.unionByName(new)
+    else:
+        rest = _mixed(buckets, links)
+    if rest.limit(1).count():
+        rest = stored(rest.drop("pivot").join(classes.select("id", "bits", "bands"), "id"), "rest")
+        links = links.unionByName(_crossing(rest, classes, docs, percent, plausible))
     groups = components(links)
-    named = buckets.join(groups, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("band", "key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("most")).where("m > most.c").select(
-        "band", "key", "m", F.col("most.component").alias("main"), F.expr("m - most.c").alias("others"))
-    rest = stored(named.join(mixed, ["band", "key"]).join(sets.select("id", "n", "bits", "bands"), "id").select("band", "key", "id", "m", "main", "others", "component", "n", "bits", "bands"), "mixed")
-    met = F.lit(False)  # a pair is taken in the first band that it shares
-    for k in range(BANDS - 1):
-        met = met | ((F.col("x.band") > k) & (F.get("x.bands", F.lit(k)) == F.get("y.bands", F.lit(k))))
-    left, right = _cells(rest, percent)
-    crossing = (
-        left.alias("x").join(right.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.main")))
-                             & (F.col("x.component") != F.col("y.component")) & plausible & ~met)
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(_confirm(crossing, docs, percent))
-    groups = components(links)
-    # of class heads: component of the class
-    labelled = classes.select("doc_id", "head").distinct().join(groups.withColumnRenamed("id", "head"), "head", "left").select(
-        "doc_id", F.coalesce("component", "head").alias("component")
-    )
-    return signed.select("doc_id", "n_shingles").join(labelled, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+
+    own = classes.join(groups, "id", "left").select("id", "digest", "doc_id", "copies", F.coalesce("component", "id").alias("component"))
+    least = stored(own.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    facts = stored(join_counted(stored(own, "own"), least, "component", "members").select("digest", "copies", "component_id"), "facts")
+    rows = join_counted(signed.where("digest is not null").select("doc_id", "n_shingles", "digest"), facts, "digest", "copies").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

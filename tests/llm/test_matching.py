@@ -218,3 +218,57 @@ def test_stages_decide_by_row(frame, spark, tmp_path):
     assert order((r.doc_id, r.text) for r in once.collect()) == order({*docs} - {docs[8]})
     clean = corpus_pipeline.decontamination(spark, d, str(tmp_path))
     assert order((r.doc_id, r.text) for r in clean.collect()) == order(x for x in docs if bench not in x[1])
+
+
+def test_near_duplicates_by_text_not_by_id(frame):
+    rng = random.Random(12)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    a, b, c = text(), text(), text()
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    run = lambda rows: sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame(rows, "doc_id long, text string")).collect()), key=str)
+    assert run([(0, " ".join(b)), (1, " ".join(a)), (1, " ".join(b))]) == [(0, 0, True), (1, 0, False), (1, 1, True)]
+    assert run([(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b))]) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    got = run([(None, " ".join(a)), (7, near(a)), (None, " ".join(b)), (None, " ".join(c)), (None, near(c)), (None, None), (8, "")])
+    assert got == [(7, 7, True), (8, 8, True), (None, 7, False)] + [(None, None, True)] * 4
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    from cellframe.llm.near_text import _word_hashes
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    assert len(set(_word_hashes(word + " " + word.translate({97: 98, 98: 97})).tolist())) == 2
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from cellframe.llm import near_text
+
+    text = " ".join("x" * (i % 40) + f"{i}\t" for i in range(500)) + "ünï"
+    whole = near_text._word_hashes(text)
+    monkeypatch.setattr(near_text, "PIECE", 50)
+    assert len(whole) == len(text.split()) and (near_text._word_hashes(text) == whole).all()
+    assert near_text._word_hashes("  \t").tolist() == near_text._word_hashes("").tolist() == []
+
+
+def test_groups_that_stay_apart_meet_block_by_block(frame, monkeypatch):
+    from cellframe.llm import near_text
+
+    monkeypatch.setattr(near_text, "BLOCK", 5)
+    monkeypatch.setattr(near_text, "STARS", 1)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):  # all share most words, few pairs are similar enough
+        w = list(base)
+        for k in rng.sample(range(300), 9 + i % 3):
+            w[k] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+        if i % 6 == 0:
+            texts.append(" ".join([*w, "end"]))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert links
+    want = _components(len(texts), links)
+    rows = near_duplicates(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(rows)] == want
