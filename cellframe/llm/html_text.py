@@ -33,7 +33,9 @@ SAMPLE, STEPS, PAGES = 200, 160, 500
 
 # Element names by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg select object xmp".split())
+RAW = set("script style textarea title noscript template iframe svg select xmp".split())
+HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
+ENDS_SVG = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|menu|ol|p|pre|s|small|span|strong|sub|sup|table|tt|u|ul"
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr picture source".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "option": {"option"}}
@@ -49,6 +51,7 @@ GOOD = "article|content|main|post|entry|story|body|text|prose|blog|page"
 _BAD = [re.compile(rf"(?:^|[^a-z])(?:{w})(?:[^a-z]|$)") for w in BAD]
 _GOOD = re.compile(rf"(?:^|[^a-z])(?:{GOOD})(?:[^a-z]|$)")
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_AFTER_SVG = re.compile(rf"<(?:{ENDS_SVG})(?=[\s/>])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -86,7 +89,8 @@ def parse(page: str) -> list[Node]:
         run_links = 0
 
     def add(text: str) -> None:
-        nonlocal run_links
+        nonlocal run_links, head
+        head = head and (not text or text.isspace())
         if text and not head:
             run.append(text)
             if in_link:
@@ -125,7 +129,6 @@ def parse(page: str) -> list[Node]:
         if closing:
             if tag == "head":
                 head = False
-                run.clear()
             if tag == "br":
                 add(" ")
             for i in range(len(open_tags) - 1, 0, -1):
@@ -141,12 +144,15 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             head = False
             continue
+        if tag not in HEAD:
+            head = False
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea") else None
             if end:
                 at = end.end()
             elif not attributes.rstrip().endswith("/"):
-                at = len(page)
+                after = _AFTER_SVG.search(page, at) if tag == "svg" else None
+                at = after.start() if after else len(page)
             continue
         if tag in VOID:
             if tag == "hr":
