@@ -8,8 +8,8 @@
    bounds are a table of the most disagreements that a batch may end with.
 4. Survivors are compared on their full shingle sets.
 5. Links become components. To spare the square of a group: first every member of a band is compared with one member of
-   the band, the pivot; up to ``STARS`` times more, a new pivot outside the band's largest component is compared with the
-   members of other components, until that links nothing new. Only members of a band that are still in different
+   the band, the pivot; ``STARS`` times more, a new pivot outside the band's largest component is compared with the
+   members of other components. Only members of a band that are still in different
    components are then compared with each other, inside the join, which gives out confirmed links alone. A pair that is
    left out lies in one component already, so components are those of all pairs that meet in a band. Bands of more than
    ``BLOCK`` are cut by set size, where only neighbouring sizes can be similar enough, and by hash into blocks, so that no
@@ -42,7 +42,7 @@ MISS = 1e-5
 MARKS = 1 << 24
 BLOCK = 1024
 PIECE = 1 << 20
-STARS = 2
+STARS = 1
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -198,8 +198,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _alike(percent: int):
-    both = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    return 100 * both >= percent * (F.size("x.shingles") + F.size("y.shingles") - both)
+    return (100 + percent) * F.size(F.array_intersect("x.shingles", "y.shingles")) >= percent * (F.size("x.shingles") + F.size("y.shingles"))
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -261,14 +260,14 @@ def _crossing(rest: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
         met = met | ((F.col("x.band") > k) & (F.get("x.bands", F.lit(k)) == F.get("y.bands", F.lit(k))))
     meet = (
         (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.main"))) & plausible & ~met
+        & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.main"))) & plausible
     )
     left, right = _cells(rest, percent)
     able = left.alias("x").join(right.alias("y"), meet, "left_semi").select("id").union(right.alias("y").join(left.alias("x"), meet, "left_semi").select("id"))
     sets = _sets(stored(able.distinct(), "able"), classes, docs)
     left, right = _cells(rest.join(sets, "id"), percent)
     return stored(
-        left.alias("x").join(right.alias("y"), meet & _alike(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "links")
+        left.alias("x").join(right.alias("y"), meet & ~met & _alike(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
