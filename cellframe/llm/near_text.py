@@ -87,16 +87,18 @@ def shingle_set(text: str | None) -> np.ndarray:
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     n = max(BANDS * ROWS, HASHES)
-    return (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
+    return (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[None, :], rng.integers(0, 1 << 32, n, dtype=np.uint32)[None, :]
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed four-bit hashes of a non-empty set."""
     a, b = _functions()
-    x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
-    low = np.full(len(a), np.uint32(0xFFFFFFFF))
-    for i in range(0, x.shape[1], 2048):
-        np.minimum(low, (a * x[:, i : i + 2048] + b).min(axis=1), out=low)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    low = np.full(a.shape[1], np.uint32(0xFFFFFFFF))
+    for i in range(0, len(x), 256):
+        values = x[i : i + 256] * a
+        values += b
+        np.minimum(low, values.min(axis=0), out=low)
     keys = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + low[: BANDS * ROWS].reshape(BANDS, ROWS)[:, r])
