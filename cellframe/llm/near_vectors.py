@@ -174,6 +174,15 @@ def _coder(indexes: dict[int, Index], cosine: float):
     return run
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.diff(batch.column("v").offsets.to_numpy())
+        for size in np.unique(sizes):
+            rows = batch.filter(pa.array(sizes == size))
+            unit = _unit(rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("m"), pa.array(list(unit), pa.list_(pa.float64()))], names=["id", "m", "unit"])
+
+
 def fit_indexes(sound: DataFrame, cosine: float) -> dict[int, Index]:
     """Settings of the most frequent lengths; ``sound`` has vec_id, label, v."""
     sample = sample_rows(sound.select("vec_id", "v"), SAMPLE, "vec_id").toPandas()
@@ -212,9 +221,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         .join(entries.select("id", "code", *place).alias("y"), same & (F.col("x.id") < F.col("y.id")) & (F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code"))) <= F.col("x.most")))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     )
-    length = F.sqrt(F.aggregate(F.transform("w", lambda e: e * e), F.lit(0.0), lambda s, e: s + e))
-    units = classes.select("id", "m", F.transform("v", lambda e: e / F.array_max(F.transform("v", F.abs))).alias("w")).select("id", "m", F.transform("w", lambda e: e / length).alias("unit"))
-    units = stored(units, "units")
+    units = stored(classes.select("id", "m", "v").mapInArrow(_units, "id long, m long, unit array<double>"), "units")
     dot = F.aggregate(F.zip_with("x.unit", "y.unit", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     links = stored(
         pairs.join(units.alias("x"), F.col("a") == F.col("x.id")).join(units.alias("y"), F.col("b") == F.col("y.id"))
